@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, packing
 from ._kernel import table
 
 #: Name of the byte-level vocabulary among the public tokenizers.
@@ -23,8 +23,13 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), ["doc_id"])
 
 
+def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_transducer": op4_bpe_transducer,
+    "op5_nnls_packing": op5_nnls_packing,
 }
 
 ORACLES: dict[str, str] = {}
