@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts may be long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch, whichever is less; texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 #: Bytes that a kernel works on at once, unless a single text is longer.
 BLOCK_BYTES = 4 << 20
 
@@ -30,6 +30,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def tune(spark: SparkSession) -> SparkSession:
     """Small Arrow batches: a batch of long texts must fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
