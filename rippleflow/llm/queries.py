@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, toxicity
+from . import bpe, packing, secret_scan, toxicity
 from ._kernel import table
 
 #: Name of the byte-level vocabulary among the public tokenizers.
@@ -23,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs), ["doc_id"]).drop("redacted_text")
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), ["doc_id"])
 
@@ -33,6 +38,7 @@ def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_crf_secrets": op2_crf_secrets,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op5_nnls_packing": op5_nnls_packing,
 }
