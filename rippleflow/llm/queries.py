@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secret_scan, toxicity
+from . import bpe, packing, secret_scan, toxicity, url_filter
 from ._kernel import table
 
 #: Name of the byte-level vocabulary among the public tokenizers.
@@ -28,6 +28,10 @@ def op2_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit(docs), ["doc_id"]).drop("redacted_text")
 
 
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, ["page_id"])
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), ["doc_id"])
 
@@ -39,8 +43,11 @@ def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_crf_secrets": op2_crf_secrets,
+    "op3_url_cascade": op3_url_cascade,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op5_nnls_packing": op5_nnls_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_url_cascade": url_filter.ORACLE,
+}
