@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, secret_scan, simhash, toxicity, url_filter
+from . import bpe, packing, quality_rules, secret_scan, simhash, syncmers, toxicity, url_filter
 from ._kernel import table
 
 #: Name of the byte-level vocabulary among the public tokenizers.
@@ -48,6 +48,10 @@ def op7_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_crf_secrets": op2_crf_secrets,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nnls_packing": op5_nnls_packing,
     "op6_rule_cascade": op6_rule_cascade,
     "op7_simhash_mih": op7_simhash_mih,
+    "op9_closed_syncmers": op9_closed_syncmers,
 }
 
 ORACLES: dict[str, str] = {
