@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, secret_scan, simhash, syncmers, toxicity, url_filter
+from . import bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, syncmers, toxicity, url_filter
 from ._kernel import table
 
 #: Name of the byte-level vocabulary among the public tokenizers.
@@ -52,6 +52,10 @@ def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_crf_secrets": op2_crf_secrets,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rule_cascade": op6_rule_cascade,
     "op7_simhash_mih": op7_simhash_mih,
     "op9_closed_syncmers": op9_closed_syncmers,
+    "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
 }
 
 ORACLES: dict[str, str] = {
