@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, syncmers, toxicity, url_filter
+from . import bpe, html_extract, packing, quality_classifier, quality_rules, secret_scan, simhash, syncmers, toxicity, url_filter
 from ._kernel import table
 
 #: Name of the byte-level vocabulary among the public tokenizers.
@@ -56,6 +56,10 @@ def op10_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit(), ["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_crf_secrets": op2_crf_secrets,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nnls_packing": op5_nnls_packing,
     "op6_rule_cascade": op6_rule_cascade,
     "op7_simhash_mih": op7_simhash_mih,
+    "op8_dom_trees": op8_dom_trees,
     "op9_closed_syncmers": op9_closed_syncmers,
     "op10_empirical_bayes_quality": op10_empirical_bayes_quality,
 }
