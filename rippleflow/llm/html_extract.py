@@ -64,6 +64,8 @@ _BAD_TAGS = {"nav": 1, "header": 2, "footer": 4, "aside": 8, "form": 16, "articl
 
 #: Log odds in favour of keeping a node whose container is kept (and is not the page's outermost).
 STICK = 1.5
+#: The least log odds of the block that is kept when all others go.
+FLOOR = -3.0
 
 
 class Page:
@@ -225,6 +227,8 @@ def decode(page: Page, odds: np.ndarray) -> list[bool]:
         if not some[k] and text.strip():
             some[k] = True
     parent = page.parent
+    body = _TAG_ID["body"]
+    stick = [STICK if p > 0 and parent[p] > 0 and page.tag[p] != body else 0.0 for p in parent]
     for i in range(n - 1, 0, -1):
         if some[i]:
             some[parent[i]] = True
@@ -237,12 +241,19 @@ def decode(page: Page, odds: np.ndarray) -> list[bool]:
             dropped[i] += no[i]
         if i:
             p = parent[i]
-            kept[p] += max(kept[i] + (STICK if p and page.parent[p] > 0 else 0.0), dropped[i])
+            kept[p] += max(kept[i] + stick[i], dropped[i])
             dropped[p] += dropped[i]
     out = [True] * n
     for i in range(1, n):
-        p = parent[i]
-        out[i] = out[p] and kept[i] + (STICK if p and parent[p] > 0 else 0.0) >= dropped[i]
+        out[i] = out[parent[i]] and kept[i] + stick[i] >= dropped[i]
+    if not any(out[k] and text.strip() for k, text, _ in page.pieces):
+        # a page whose every block was doubtful: its best block, if that is no clear refusal
+        best = max((i for i in range(1, n) if some[i]), key=lambda i: odds[i], default=0)
+        while best and stick[best] and odds[parent[best]] > FLOOR:
+            best = parent[best]  # with its container, where that is no clear refusal either
+        if best and odds[best] > FLOOR:
+            for i in range(best, page.end[best]):
+                out[i] = i == best or (out[parent[i]] and kept[i] + stick[i] >= dropped[i])
     return out
 
 
@@ -295,7 +306,7 @@ class _Maker:
             out.append(f"<h1>{title}</h1>")
             if r.random() < 0.3:
                 out.append(r.choice(["<p>%s</p>", "<p><b>%s<br>", "<p><b>%s</b></p>", "<div>%s</div>"]) % title)
-        for _ in range(r.choice([0, 0, 0, 1, 1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5, 8, 14])):
             x = r.random()
             if x < 0.72:
                 out.append(self.para())
