@@ -160,7 +160,7 @@ def map_text(
                 cols = [batch.column(batch.schema.get_field_index(k)).slice(a, b - a) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, *(got[k] for k in names)], names=[*keep, *names])
 
-    src = df.select(*keep, text)
+    src = df.select(*keep, *([] if text in keep else [text]))
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     return src.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), schema]))
 
@@ -172,4 +172,16 @@ def code_points(data: np.ndarray) -> np.ndarray:
 
 def cast_text(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep and text alone, under these names; other columns cannot clash with what an operator adds."""
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("text"))
+    words = F.col(f"`{text}`").cast("string").alias("text")
+    cols = [words if k == "text" else F.col(f"`{k}`") for k in keep]
+    return df.select(*cols, *([] if "text" in keep else [words]))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """_row, a struct of all columns but text, beside text: rows carried through an operator that adds columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("_row"), "text")
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of packed() rows, some of them replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns])
