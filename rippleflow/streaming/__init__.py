@@ -1,0 +1,4 @@
+"""Nothing here: the analysis compares two finished snapshots, and has no stream to follow.
+
+Incremental work is by content key instead: see operators.diff.reuse and sources.cache.
+"""
