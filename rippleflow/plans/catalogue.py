@@ -324,9 +324,9 @@ def _(r):
     return graph.merged([_poly(r), _fixture_edges(r)]).select("callee", "caller")
 
 
-@query("frameworks_present", duck(["ref"], "SELECT DISTINCT name AS assembly, f AS framework FROM ref JOIN (VALUES ('x3', 'three'), ('X17', 'seventeen')) v(m, f) ON lower(ref) = lower(m)"))
+@query("frameworks_present", duck(["ref"], "SELECT DISTINCT name AS assembly, f AS framework FROM ref JOIN (VALUES ('x10', 'ten'), ('X17', 'seventeen'), ('x20', 'twenty')) v(m, f) ON lower(ref) = lower(m)"))
 def _(r):
-    markers = r.spark.createDataFrame([("x3", "three"), ("X17", "seventeen")], "marker string, framework string")
+    markers = r.spark.createDataFrame([("x10", "ten"), ("X17", "seventeen"), ("x20", "twenty")], "marker string, framework string")
     return graph.frameworks_present(r["ref"], markers)
 
 
