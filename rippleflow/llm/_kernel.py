@@ -7,6 +7,8 @@ Nulls count as empty texts throughout.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -18,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, whichever is less; texts may be long, so batches stay small.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Bytes that a kernel works on at once, unless a single text is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, dtype=bool)
@@ -146,6 +148,28 @@ def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.n
     return np.rint(np.bincount(rows, weights=weights.astype(np.float64), minlength=n)).astype(np.int64)
 
 
+def trim() -> None:
+    """Gives freed memory back: Python workers outlive their tasks and share the executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with what a task leaves behind given back when it ends."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
 def map_text(
     df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], schema: str, keep: list[str], text: str = "text"
 ) -> DataFrame:
@@ -162,7 +186,7 @@ def map_text(
 
     src = df.select(*keep, *([] if text in keep else [text]))
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    return src.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), schema]))
+    return map_arrow(src, run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), schema]))
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

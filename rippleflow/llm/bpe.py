@@ -35,7 +35,7 @@ SPLIT_HOLD = 16
 #: A pre-token over this many bytes is merged window by window.
 LONG_BYTES = 512
 #: Distinct pre-tokens that a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _BIG = np.int64(1) << 40
 
 

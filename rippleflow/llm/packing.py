@@ -272,7 +272,7 @@ def pack(df: DataFrame, path: str, keep: list[str], window: int = 2048, end_id:
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     held = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
     head = f"{held}, " if keep else ""
-    pieces = K.stored(src.mapInArrow(_pieces(path, window, end_id, keep), head + _PIECES))
+    pieces = K.stored(K.map_arrow(src, _pieces(path, window, end_id, keep), head + _PIECES))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     offsets = K.stored(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")))
     hist = np.zeros(window + 1, np.int64)
@@ -286,4 +286,4 @@ def pack(df: DataFrame, path: str, keep: list[str], window: int = 2048, end_id:
     ranked = pieces.join(side, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
     kind = "<u2" if load(path).size <= 1 << 16 and end_id < 1 << 16 else "<u4"
     K.tune(spark)
-    return ranked.mapInArrow(_placed(p, kind, keep), head + _PACKED)
+    return K.map_arrow(ranked, _placed(p, kind, keep), head + _PACKED)

@@ -161,7 +161,7 @@ def measure(df: DataFrame, rules: list[Rule], key: str = "doc_id", sample: int =
                     spent[i] += time.process_time() - began
         yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(hit, pa.int64()), pa.array([rows] * len(rules), pa.int64())], names=["name", "spent", "hit", "n"])
 
-    got = docs.mapInArrow(run, "name string, spent double, hit long, n long").groupBy("name").agg(F.sum("spent"), F.sum("hit"), F.sum("n")).collect()
+    got = K.map_arrow(docs, run, "name string, spent double, hit long, n long").groupBy("name").agg(F.sum("spent"), F.sum("hit"), F.sum("n")).collect()
     return {r[0]: (r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in got}
 
 

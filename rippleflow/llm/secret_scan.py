@@ -269,7 +269,7 @@ def fit(df: DataFrame, key: str = "doc_id", limit: int = MAX_TRAIN) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))], names=["feats", "tags"])
 
     docs = df.select(F.col(key).alias("_key"), "text").join(F.broadcast(ids), F.col("_key") == F.col("_id")).select("text")  # at most `limit` ids
-    rows = docs.mapInArrow(run, "feats array<array<int>>, tags array<int>").limit(limit * 5).collect()
+    rows = K.map_arrow(docs, run, "feats array<array<int>>, tags array<int>").limit(limit * 5).collect()
     real = sorted((([list(f) for f in r["feats"]], list(r["tags"])) for r in rows), key=lambda x: (x[0], x[1]))
     return Field().fit(real + rule_made())
 

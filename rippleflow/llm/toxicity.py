@@ -101,7 +101,7 @@ def corpus_trigrams(df: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["code", "n"])
 
-    rows = K.cast_text(df, []).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = K.map_arrow(K.cast_text(df, []), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIZE**3)
     counts[rows["code"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -231,7 +231,7 @@ class Reader:
         return names if self.ids is None else [self.ids[x] for x in names if x in self.ids]
 
     def tokens(self, found: list[bytes]) -> list[list]:
-        if len(self.memory) > 300_000:
+        if len(self.memory) > 150_000:
             self.memory = {}
         memory, out = self.memory, []
         for t in found:
@@ -296,7 +296,7 @@ def _feature_counts(train: DataFrame, lm: np.ndarray) -> DataFrame:
             names=["name", "bad", "good"],
         )
 
-    return train.mapInArrow(run, "name string, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return K.map_arrow(train, run, "name string, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def _active(train: DataFrame, lm: np.ndarray, ids: dict[str, int]) -> DataFrame:
@@ -313,7 +313,7 @@ def _active(train: DataFrame, lm: np.ndarray, ids: dict[str, int]) -> DataFrame:
                     out[a + r].add(i)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.array([sorted(x) for x in out], pa.list_(pa.int32()))], names=["y", "ids"])
 
-    return train.mapInArrow(run, "y int, ids array<int>")
+    return K.map_arrow(train, run, "y int, ids array<int>")
 
 
 def choose(rows: list[tuple[int, tuple[int, ...]]], names: list[str], least: int = 3, demand: int = 3) -> dict[int, float]:

@@ -124,7 +124,7 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
             got = [k for k in batch.column(0).to_pylist() if k in level]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["key"])
 
-    return keys.mapInArrow(run, "key string")
+    return K.map_arrow(keys, run, "key string")
 
 
 def build(universe: DataFrame, listed: list[str], unlisted_count: int) -> Cascade:
@@ -162,7 +162,7 @@ def url_keys(pages: DataFrame, shape: Shape, url: str = "url") -> DataFrame:
             found = {k for u in batch.column(0).to_pylist() for k in shape.keys(*parse(u))}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["key"])
 
-    return pages.select(F.col(url).cast("string").alias("url")).mapInArrow(run, "key string").distinct()
+    return K.map_arrow(pages.select(F.col(url).cast("string").alias("url")), run, "key string").distinct()
 
 
 def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url", default: str = "allow") -> DataFrame:
@@ -203,7 +203,7 @@ def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url"
 
     src = pages.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{url}`").cast("string").alias("_url"))
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    return src.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "host string, path string, rule string, verdict string"]))
+    return K.map_arrow(src, run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "host string, path string, rule string, verdict string"]))
 
 
 #: DuckDB SQL for judge() with RULES over `pages`.
