@@ -32,7 +32,7 @@ def user_types(types: DataFrame) -> DataFrame:
     user = types.where(~is_generated(F.col("simple_name"))).select(F.col("type").alias("user_type"))
     own = user.select(F.col("user_type").alias("type"), "user_type")
     generated = types.where(is_generated(F.col("simple_name"))).select("type")
-    near = up.join(user, up["over"] == user["user_type"]).join(generated, "type", "left_semi").groupBy("type").agg(F.min_by("user_type", "depth").alias("user_type"))
+    near = up.join(user, F.col("over") == F.col("user_type")).join(generated, "type", "left_semi").groupBy("type").agg(F.min_by("user_type", "depth").alias("user_type"))
     return own.unionByName(near)
 
 

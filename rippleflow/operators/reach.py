@@ -14,8 +14,37 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, stored
 
+#: Edges (or pairs) up to which a walk runs on the driver, where a round of jobs would cost more
+#: than the work; beyond, every level is distributed.
+LOCAL_ROWS = 50_000
 
-def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None) -> DataFrame:
+
+def _few(df: DataFrame, most: int) -> list[tuple] | None:
+    """The rows of a table that is known to be small; None if it is not."""
+    rows = df.limit(most + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= most else None
+
+
+def _walk(edges: list[tuple], seeds: list[tuple], most: int | None) -> list[tuple]:
+    """reach() in memory: (node, depth, chain)."""
+    out: dict[str, list[str]] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    level = {s: [s] for (s,) in seeds if s is not None}
+    seen, depth = {n: (0, c) for n, c in level.items()}, 0
+    while level and (most is None or depth < most):
+        new: dict[str, list[str]] = {}
+        for n, chain in level.items():
+            for m in out.get(n, ()):
+                if m not in seen and (m not in new or chain < new[m][:-1]):
+                    new[m] = [*chain, m]
+        depth += 1
+        seen |= {n: (depth, c) for n, c in new.items()}
+        level = new
+    return [(n, d, c) for n, (d, c) in seen.items()]
+
+
+def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(node, depth, chain) of every node reached from seeds (column node), the seeds included.
 
     depth is the least number of edges; chain the least of the shortest chains, seed first. Cycles
@@ -23,6 +52,9 @@ def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | N
     """
     spark = edges.sparkSession
     edges = stored(edges.select("callee", "caller").where("callee <> caller").distinct())
+    if local_rows and (small := _few(edges, local_rows)) is not None and (start := _few(seeds.select("node").distinct(), local_rows)) is not None:
+        rows = _walk(small, start, most)
+        return spark.createDataFrame(rows if chains else [r[:2] for r in rows], "node string, depth int" + (", chain array<string>" if chains else ""))
     first = seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))
     if chains:
         first = first.withColumn("chain", F.array("node"))
@@ -46,11 +78,34 @@ def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | N
     return spark.read.schema(schema).parquet(*paths)
 
 
-def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFrame:
-    """(a, b, depth) of the transitive closure of pairs up to most steps, with the least depth.
+def _closed(pairs: list[tuple], most: int) -> list[tuple] | None:
+    """closure() in memory; None if it outgrows the driver's share."""
+    out: dict[str, list[str]] = {}
+    for x, y in pairs:
+        out.setdefault(x, []).append(y)
+    found: list[tuple] = []
+    for x in out:
+        level, seen, depth = {x}, {x}, 0
+        while level and depth < most:
+            level = {y for n in level for y in out.get(n, ()) if y not in seen}
+            seen |= level
+            depth += 1
+            found += [(x, y, depth) for y in level]
+        if len(found) > 20 * LOCAL_ROWS:
+            return None
+    return found
+
+
+def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b", local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(a, b, depth) of the transitive closure of pairs of strings up to most steps, with the least
+    depth; no name reaches itself.
 
     Squaring: each round joins the closure so far with itself, so it takes log2(most) rounds.
     """
+    if local_rows and (small := _few(pairs.select(a, b).where(F.col(a) != F.col(b)).distinct(), local_rows)) is not None:
+        found = _closed(small, most)
+        if found is not None:
+            return pairs.sparkSession.createDataFrame(found, f"`{a}` string, `{b}` string, depth int")
     known = stored(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1)))
     size, span = known.count(), 1
     while span < most:
@@ -66,6 +121,6 @@ def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFram
 
 
 def reference_closure(references: DataFrame) -> DataFrame:
-    """(name, ref) of all direct and indirect references, without case; a name reaches itself only by a cycle."""
+    """(name, ref) of all direct and indirect references, without case."""
     low = references.select(F.lower("name").alias("name"), F.lower("ref").alias("ref"))
     return closure(low, 1 << 20, "name", "ref").select("name", "ref")

@@ -44,14 +44,14 @@ def direct_hits(reached: DataFrame, tests: DataFrame) -> DataFrame:
     reason = F.when(F.col("depth") == 0, F.concat(F.lit("the test itself changed ("), seed, F.lit(")"))).otherwise(
         F.concat(seed, F.lit(" reaches this test in "), F.col("depth").cast("string"), F.lit(" hop(s)"))
     )
-    hit = reached.join(tests, reached["node"] == tests["key"])
-    return hit.select(*[tests[c] for c in tests.columns], F.lit(PHASE_WALK).alias("phase"), _rank(F.col("depth"), 0, F.col("node"), F.col("chain"), reason).alias("why"))
+    hit = reached.join(tests, F.col("node") == F.col("key"))
+    return hit.select(*[F.col(c) for c in tests.columns], F.lit(PHASE_WALK).alias("phase"), _rank(F.col("depth"), 0, F.col("node"), F.col("chain"), reason).alias("why"))
 
 
 def _hooks(reached: DataFrame, lifecycle: DataFrame) -> DataFrame:
     text = F.when(F.col("scope") == SCOPE_GLOBAL, "global ").when(F.col("scope") == SCOPE_ASSEMBLY, "assembly-wide ").otherwise("")
     reason = F.concat(text, F.lit("lifecycle method "), pretty_key(F.col("node")), F.lit(" is impacted"))
-    hit = reached.join(lifecycle, reached["node"] == lifecycle["method_key"])
+    hit = reached.join(lifecycle, F.col("node") == F.col("method_key"))
     return hit.select("scope", "declaring_type", F.lower("assembly").alias("_asm"), _rank(F.col("depth"), 1, F.col("node"), F.col("chain"), reason).alias("why"))
 
 
@@ -60,14 +60,14 @@ def lifecycle_hits(reached: DataFrame, tests: DataFrame, lifecycle: DataFrame, b
     classes derived from it, of the assembly (without case), or all. Of each scope's hooks the
     nearest speaks, so each join meets one row for a class, an assembly, or the whole."""
     hooks = _hooks(reached, lifecycle)
-    cols = [tests[c] for c in tests.columns] + [F.lit(PHASE_WALK).alias("phase"), F.col("why")]
+    cols = [F.col(c) for c in tests.columns] + [F.lit(PHASE_WALK).alias("phase"), F.col("why")]
     fixture = hooks.where(F.col("scope") == SCOPE_FIXTURE).groupBy("declaring_type").agg(F.min("why").alias("why"))
     below = descendants(base_types).select(F.col("type").alias("_t"), F.col("base").alias("_b"))
     derived = fixture.join(below, F.col("declaring_type") == F.col("_b"), "left")
     derived = derived.select(F.explode(F.array_distinct(F.array(F.col("declaring_type"), F.coalesce("_t", "declaring_type")))).alias("_class"), "why").groupBy("_class").agg(F.min("why").alias("why"))
-    one = derived.join(tests, derived["_class"] == tests["declaring_type"]).select(*cols)
+    one = derived.join(tests, F.col("_class") == F.col("declaring_type")).select(*cols)
     assembly = hooks.where(F.col("scope") == SCOPE_ASSEMBLY).groupBy("_asm").agg(F.min("why").alias("why"))
-    two = assembly.join(tests, assembly["_asm"] == F.lower(tests["assembly"])).select(*cols)
+    two = assembly.join(tests, F.col("_asm") == F.lower("assembly")).select(*cols)
     whole = hooks.where(F.col("scope") == SCOPE_GLOBAL).agg(F.min("why").alias("why")).where("why is not null")
     three = tests.crossJoin(F.broadcast(whole)).select(*cols)  # one row at most
     return one.unionByName(two).unionByName(three)
@@ -81,7 +81,7 @@ def type_hits(seeded: DataFrame, tests: DataFrame, base_types: DataFrame) -> Dat
     key = type_key(F.col("type"))
     why = _rank(F.lit(0), 0, key, F.array(key), F.concat(F.lit("the fixture is or inherits from changed type "), F.col("type")))
     first = every.select("_class", why.alias("why")).groupBy("_class").agg(F.min("why").alias("why"))
-    return first.join(tests, first["_class"] == tests["declaring_type"]).select(*[tests[c] for c in tests.columns], F.lit(PHASE_SEED).alias("phase"), "why")
+    return first.join(tests, F.col("_class") == F.col("declaring_type")).select(*[F.col(c) for c in tests.columns], F.lit(PHASE_SEED).alias("phase"), "why")
 
 
 def provider_hits(seeded: DataFrame, tests: DataFrame, links: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def provider_hits(seeded: DataFrame, tests: DataFrame, links: DataFrame) -> Data
     key = F.col("provider_key")
     why = _rank(F.lit(0), 1, key, F.array(key, F.col("test_key")), F.concat(F.lit("data provider changed: "), pretty_key(key)))
     hit = plain.join(links, "provider_key").select("test_key", why.alias("why")).groupBy("test_key").agg(F.min("why").alias("why"))
-    return hit.join(tests, hit["test_key"] == tests["key"]).select(*[tests[c] for c in tests.columns], F.lit(PHASE_SEED).alias("phase"), "why")
+    return hit.join(tests, F.col("test_key") == F.col("key")).select(*[F.col(c) for c in tests.columns], F.lit(PHASE_SEED).alias("phase"), "why")
 
 
 def first_reason(hits: DataFrame) -> DataFrame:

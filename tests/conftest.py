@@ -15,6 +15,9 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("rippleflow-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "2")
+        .config("spark.sql.leafNodeDefaultParallelism", "1")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")

@@ -15,12 +15,13 @@ def nodes(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-def test_chains_and_cycles(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_chains_and_cycles(spark, local):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("c", "e"), ("x", "x"))
-    got = {r.node: (r.depth, r.chain) for r in reach.reach(e, nodes(spark, "a", "a", "x")).collect()}
+    got = {r.node: (r.depth, r.chain) for r in reach.reach(e, nodes(spark, "a", "a", "x"), local_rows=local).collect()}
     assert got == {"a": (0, ["a"]), "x": (0, ["x"]), "b": (1, ["a", "b"]), "d": (1, ["a", "d"]), "c": (2, ["a", "b", "c"]), "e": (3, ["a", "b", "c", "e"])}
-    assert reach.reach(e, nodes(spark)).count() == 0
-    assert {r.node for r in reach.reach(e, nodes(spark, "a"), most=1).collect()} == {"a", "b", "d"}
+    assert reach.reach(e, nodes(spark), local_rows=local).count() == 0
+    assert {r.node for r in reach.reach(e, nodes(spark, "a"), most=1, local_rows=local).collect()} == {"a", "b", "d"}
 
 
 def test_reach_against_brute_force(spark):
@@ -37,9 +38,10 @@ def test_reach_against_brute_force(spark):
     assert set(got) <= more
 
 
-def test_closure(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_closure(spark, local):
     pairs = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(10)], "a string, b string")
-    got = {(r.a, r.b): r.depth for r in reach.closure(pairs, 4).collect()}
+    got = {(r.a, r.b): r.depth for r in reach.closure(pairs, 4, local_rows=local).collect()}
     assert got == {(f"t{i}", f"t{j}"): j - i for i in range(11) for j in range(i + 1, min(i + 4, 10) + 1)}
 
 

@@ -50,7 +50,7 @@ def test_copies(spark, tmp_path):
         p = tmp_path / d / name
         p.write_bytes(f"{d}{name}".encode())
         os.utime(p, (at, at))
-    (tmp_path / "one" / "A.pdb").write_bytes(b"")
+    (tmp_path / "one" / "A.pdb").write_bytes(b"pdb")
     dirs = [str(tmp_path / "one"), str(tmp_path / "two")]
     files = listing.scan(spark, dirs, "*")
     dlls = files.where("lower(file) like '%.dll'")
