@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalars import first_few, glob_regex, slashed
 from ..operators import diff, emit, graph, ranges, reach, rules, select
+from ..storage import stored
 
 #: Changed paths that always call for a full run, unless the caller names others (fixed values).
 FORCE_FULL_RUN = ["**/appsettings*.json", "**/Migrations/**", "**/*.razor", "**/*.cshtml"]
@@ -83,9 +84,9 @@ def _few(df: DataFrame, total: int) -> str:
 
 
 def _select(g: Graph, changes: DataFrame) -> DataFrame:
-    seeded = select.seeds(changes, g.type_members)
+    seeded = stored(select.seeds(changes, g.type_members))
     reached = reach.reach(g.edges, seeded.select("node"))
-    return select.select_tests(reached, seeded, g.tests, g.lifecycle, g.base_types, g.provider_links)
+    return stored(select.select_tests(reached, seeded, g.tests, g.lifecycle, g.base_types, g.provider_links))
 
 
 def no_tests(g: Graph, framework: str) -> str | None:
@@ -141,7 +142,7 @@ def _ladder(spark, baseline, current, build_graph, framework, changed, globs, po
         return Result.everything("2", f"the baseline's target framework {baseline.tfm} is not the build's {current.tfm}")
     if baseline.scope != current.scope:
         return Result.everything("3", f"the baseline's scope {baseline.scope} is not the build's {current.scope}")
-    report = diff.diff_assemblies(baseline.assembly, current.assembly)
+    report = stored(diff.diff_assemblies(baseline.assembly, current.assembly))
     content, old = diff.diff_content(baseline.content_file, current.content_file, baseline.version)
     warnings = ["the baseline is from before content files were recorded; a change of configuration would not be seen"] if old else []
     more = {"assemblies": report, "warnings": warnings, "front_end": "manifest"}
@@ -157,7 +158,7 @@ def _ladder(spark, baseline, current, build_graph, framework, changed, globs, po
     n = opaque.count()
     if n:
         return Result.everything("7", f"assemblies outside the scope changed and cannot be traced ({_few(opaque, n)})", **more)
-    changes = diff.diff_methods(baseline.method, current.method, report)
+    changes = stored(diff.diff_methods(baseline.method, current.method, report))
     more["changes"] = changes
     n = changes.count()
     if not n:
@@ -179,7 +180,7 @@ def _by_lines(current: Snapshot, build_graph, framework: str, changed: DataFrame
     if other:
         return Result.everything("L1", f"{other[0]} belongs to no source document, so what it affects cannot be traced")
     warnings = [f"{p} matches no source document" for p in _names(lost, "path")]
-    changes = ranges.owners(ranges.overlapping(spans, changed), types, members)
+    changes = stored(ranges.owners(ranges.overlapping(spans, changed), types, members))
     more = {"changes": changes, "front_end": "pdb", "warnings": warnings}
     n = changes.count()
     if not n:
@@ -200,11 +201,12 @@ def graph_of(framework: str, facts: dict[str, DataFrame], scope: DataFrame) -> G
     """The graph of a build's facts (types, members, instructions, attributes, attribute_bases,
     interfaces, overrides, references)."""
     f = facts
-    tests, lifecycle, refs, fixtures = rules.classify(framework, f["members"], f["types"], f["attributes"], f["attribute_bases"], f["interfaces"])
+    tests, lifecycle, refs, fixtures = (stored(x) for x in rules.classify(framework, f["members"], f["types"], f["attributes"], f["attribute_bases"], f["interfaces"]))
     edges = graph.build(f["types"], f["members"], f["instructions"], f["interfaces"], f["overrides"], scope, lifecycle, fixtures, refs)
     own = graph.type_members(f["members"])
     present = graph.frameworks_present(f["references"], rules.marker_table(tests.sparkSession))
-    return Graph(edges, tests, lifecycle, graph.base_types(f["types"]), own, graph.provider_links(refs, own), present)
+    parts = (edges, tests, lifecycle, graph.base_types(f["types"]), own, graph.provider_links(refs, own), present)
+    return Graph(*[stored(x) for x in parts])  # many plans read these
 
 
 def ladder_column() -> "F.Column":

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from rippleflow import schemas
 from rippleflow.operators import canon, graph, ranges, rules
 from rippleflow.plans import analyze as A
+from rippleflow.storage import stored
 from tests.build_facts import APP, MSTEST, NUNIT, TUNIT, XUNIT, sample
 
 ALL = (APP, NUNIT, XUNIT, TUNIT, MSTEST)
@@ -12,14 +13,13 @@ ALL = (APP, NUNIT, XUNIT, TUNIT, MSTEST)
 @pytest.fixture(scope="module")
 def build(spark):
     b, names = sample()
-    facts = {k: v.cache() for k, v in b.frames(spark).items()}
+    facts = {k: stored(v) for k, v in b.frames(spark).items()}
     scope = spark.createDataFrame([(a,) for a in ALL], "name string")
     graphs = {}
 
     def graph_for(framework):
         if framework not in graphs:
-            g = A.graph_of(framework, facts, scope)
-            graphs[framework] = A.Graph(*[getattr(g, k).cache() for k in ("edges", "tests", "lifecycle", "base_types", "type_members", "provider_links", "frameworks")])
+            graphs[framework] = A.graph_of(framework, facts, scope)
         return graphs[framework]
 
     return names, facts, graph_for
