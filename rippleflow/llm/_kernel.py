@@ -69,8 +69,11 @@ def stored(df: DataFrame) -> DataFrame:
 def text_rows(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (rows + 1, from 0) and the bytes of a string column."""
     arr = batch.column(batch.schema.get_field_index(name))
-    if arr.null_count:
-        arr = arr.fill_null("")
+    return bytes_of(arr.fill_null("") if arr.null_count else arr)
+
+
+def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (items + 1, from 0) and the bytes of a string or binary array without nulls."""
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
     _, off, data = arr.buffers()
     kind = np.int64 if wide else np.int32

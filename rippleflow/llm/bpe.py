@@ -10,7 +10,7 @@ Encoding has two layers, each of which emits as soon as no later input can chang
 
 Both keep a bounded buffer, however long a text or a pre-token is. Whole Arrow batches run
 through the same two layers in numpy: pre-token boundaries by character class, then each
-distinct pre-token merged once and remembered in a cache of bounded size.
+distinct pre-token of a block merged once, all of them together.
 
 Decoding maps ids to bytes and bytes to text through an incremental UTF-8 state machine;
 invalid sequences become U+FFFD.
@@ -34,8 +34,6 @@ LETTER, NUMBER, BLANK, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 SPLIT_HOLD = 16
 #: A pre-token over this many bytes is merged window by window.
 LONG_BYTES = 512
-#: Distinct pre-tokens that a Python worker remembers.
-CACHE_WORDS = 250_000
 _BIG = np.int64(1) << 40
 
 
@@ -103,8 +101,6 @@ class Bpe:
         self._pre = Tokenizer.from_file(path).pre_tokenizer
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         self._learn(np.arange(128))
-        self.cache: dict[bytes, tuple[int, int]] = {}
-        self._flat, self._used = np.zeros(1 << 16, np.int64), 0
 
     # -- splitter -----------------------------------------------------------------------
 
@@ -241,7 +237,8 @@ class Bpe:
             stay[hit + 1] = False
             now = np.cumsum(stay)[hit] - 1
             sym, word, rank = sym[stay], word[stay], rank[stay]
-            old = np.unique(np.concatenate([now, now[now > 0] - 1]))
+            # only pairs that a merged symbol is part of change; a pair between two of them comes up twice
+            old = np.concatenate([now, now[now > 0] - 1])
             rank[old] = _BIG
             old = old[old < len(sym) - 1]
             old = old[word[old] == word[old + 1]]
@@ -265,22 +262,23 @@ class Bpe:
             out.append(ids[:final])
             at += int(ends[final - 1])
 
-    def _remember(self, fresh: list[bytes]) -> None:
-        short = [w for w in fresh if len(w) <= LONG_BYTES]
-        ids, count = self.merge(np.frombuffer(b"".join(short), np.uint8), np.array([len(w) for w in short], np.int64))
-        parts = [ids]
-        at = (self._used + np.concatenate([[0], np.cumsum(count)])).tolist()
-        self.cache.update(zip(short, zip(at, count.tolist())))
-        used = self._used + len(ids)
-        for w in (w for w in fresh if len(w) > LONG_BYTES):
-            got = self.merge_long(w)
-            self.cache[w] = (used, len(got))
-            parts.append(got)
-            used += len(got)
-        if used > len(self._flat):
-            self._flat = np.concatenate([self._flat[: self._used], np.zeros(2 * used - self._used, np.int64)])
-        self._flat[self._used : used] = np.concatenate(parts)
-        self._used = used
+    def merge_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and where each word's begin (words + 1 places)."""
+        offsets, data = K.bytes_of(words)
+        size = np.diff(offsets)
+        long = np.flatnonzero(size > LONG_BYTES)
+        if not len(long):
+            ids, count = self.merge(data, size)
+            return ids, np.concatenate([[0], np.cumsum(count)])
+        short = np.flatnonzero(size <= LONG_BYTES)
+        ids, count = self.merge(data[K.ragged(offsets[short], size[short])], size[short])
+        parts = np.split(ids, np.cumsum(count)[:-1]) if len(short) else []
+        every: list[np.ndarray] = [None] * len(size)
+        for i, x in zip(short.tolist(), parts):
+            every[i] = x
+        for i in long.tolist():
+            every[i] = self.merge_long(data[offsets[i] : offsets[i + 1]].tobytes())
+        return np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])])
 
     def encode_rows(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after another, and the number of ids of each row."""
@@ -291,20 +289,13 @@ class Bpe:
         if not len(s):
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
         codes, found = K.encode_spans(data, np.diff(np.append(s, len(data))))
-        found = found.to_pylist()
-        if len(self.cache) > CACHE_WORDS or self._used > 8 * CACHE_WORDS:
-            self.cache, self._used, self._flat = {}, 0, np.zeros(1 << 16, np.int64)
-        if fresh := [w for w in found if w not in self.cache]:
-            self._remember(fresh)
-        spot = np.array([self.cache[w] for w in found], np.int64).reshape(-1, 2)[codes]
-        if (special >= 0).any():
-            own = special >= 0
-            at = self._used
-            self._flat = np.concatenate([self._flat[:at], special[own], np.zeros(1 << 12, np.int64)])
-            spot[own, 0] = at + np.arange(own.sum())
-            spot[own, 1] = 1
-        ids = self._flat[K.ragged(spot[:, 0], spot[:, 1])]
-        return ids, K.per_row(rows, n, spot[:, 1])
+        flat, at = self.merge_all(found)
+        begin, count = at[:-1][codes], np.diff(at)[codes]
+        own = special >= 0
+        if own.any():
+            begin[own], count[own] = len(flat) + np.arange(own.sum()), 1
+            flat = np.concatenate([flat, special[own]])
+        return flat[K.ragged(begin, count)], K.per_row(rows, n, count)
 
     def digits(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows' ids in decimal, each with a comma behind it, and each row's bytes."""

@@ -254,6 +254,9 @@ def decode(page: Page, odds: np.ndarray) -> list[bool]:
         if best and odds[best] > FLOOR:
             for i in range(best, page.end[best]):
                 out[i] = i == best or (out[parent[i]] and kept[i] + stick[i] >= dropped[i])
+            while parent[best] > 0:  # and so its containers
+                best = parent[best]
+                out[best] = True
     return out
 
 
