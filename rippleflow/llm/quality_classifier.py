@@ -42,25 +42,40 @@ class Regression:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float):
         self.mean, self.scale, self.weights, self.bias = mean, scale, weights, bias
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features, within six deviations: no text is judged by extrapolation."""
+        return np.clip((x - self.mean) / self.scale, -6, 6)
+
     def evidence(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.scale @ self.weights + self.bias
+        z = self.standard(x) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -20, 20)))
 
     @staticmethod
     def of(x: np.ndarray, y: np.ndarray, decay: float = 1.0, rounds: int = 50) -> "Regression":
-        """Newton's method with a ridge; without both labels, the smoothed base rate for every text."""
+        """Damped Newton steps with a ridge; without both labels, the smoothed base rate for every text."""
         rate = (y.sum() + 1) / (len(y) + 2)
-        mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(y) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(y) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        scale = np.where(scale < 1e-3, 1e9, scale)  # what is constant in the sample has no say
         w = np.zeros(x.shape[1] + 1)
         w[-1] = np.log(rate / (1 - rate))
         if len(y) and 0 < y.sum() < len(y):
-            a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-            ridge = np.diag([decay] * x.shape[1] + [1e-6])
+            a = np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))])
+            ridge = np.diag([decay] * x.shape[1] + [1e-2])
+
+            def loss(w: np.ndarray) -> float:
+                z = a @ w
+                return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * w @ ridge @ w)
+
+            now = loss(w)
             for _ in range(rounds):
                 p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
                 step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-                w += step
-                if np.abs(step).max() < 1e-6:
+                size = 1.0
+                while size > 1e-6 and loss(w + size * step) > now:  # a full step can overshoot where labels are separable
+                    size /= 2
+                w = w + size * step
+                before, now = now, loss(w)
+                if before - now < 1e-7 * (1 + abs(now)):
                     break
         return Regression(mean, scale, w[:-1], float(w[-1]))
 
