@@ -73,7 +73,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: str, parts: int
     Two passes over the key alone find the ranges, of which the driver gets one row each.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several ranges a task even out
     number = F.col(key).cast("double")
     cuts = sorted(set(df.select(number.alias("x")).where("x is not null").approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     steps = len(cuts).bit_length()
