@@ -51,6 +51,8 @@ WILD = "*#"
 #: Log channel probabilities.
 LEET_COST, WILD_COST, LEET_DROP, SEPARATOR_DROP, SEPARATOR_BORDER = -0.7, -3.5, -10.0, -0.3, -0.7
 GAP_CLOSES, GAP_STAYS, RUN_DROP, PAIR_DROP = -0.2, -2.5, -0.2, -7.0
+#: The least number of toxic rows, and share of them, that a feature must explain.
+LEAST_ROWS, LEAST_SHARE = 3, 0.01
 #: The least precision of a feature that tells toxic texts.
 PRECISION = 0.94
 
@@ -374,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     if not names:
         return model
     rows = [(r["y"], tuple(r["ids"])) for r in _active(train, lm, {x: i for i, x in enumerate(names)}).collect()]  # at most `limit` rows
-    kept = choose(rows, names)
+    kept = choose(rows, names, max(LEAST_ROWS, round(LEAST_SHARE * bad)))
     rest = [y for y, ids in rows if not any(i in kept for i in ids)]
     model.prior = (sum(rest) + 1) / (len(rest) + 2)
     model.weights = {names[i]: q for i, q in kept.items()}
