@@ -6,8 +6,8 @@ documents, whatever those are.
 
 * toxicity drops documents that score as toxic;
 * quality drops documents below the quality threshold;
-* near_duplicates keeps one document of each group: the one of least doc_id (without an id: after
-  all others), and one row of repeated rows;
+* near_duplicates keeps one document of each group (five-word shingles, similarity 0.8 and more): the
+  one of least doc_id (without an id: after all others), and one row of repeated rows;
 * secrets replaces secrets in the text, and sets n_chars to the new length;
 * packing gives the pieces of the packed sequences.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleflow.llm import _kernel as K
-from rippleflow.llm import packing, quality_classifier, secret_scan, simhash, toxicity
+from rippleflow.llm import near_copies, packing, quality_classifier, secret_scan, toxicity
 from rippleflow.llm.queries import vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     K.tune(spark)
     key = F.struct(F.col("_row.doc_id").isNull().alias("missing"), F.coalesce(F.col("_row.doc_id"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text")).alias("_key")
     rows = K.packed(docs).select("_row", "text", key)
-    near = simhash.near_duplicates(rows, "_key")
+    near = near_copies.near_duplicates(rows, "_key")
     kept = K.stored(near.where(F.col("_key") == F.col("component_id")).groupBy("_key").count())
     # a row that stands once is let through; of rows that are alike, one is
     once = rows.join(kept.where("count = 1").select("_key"), "_key", "left_semi")
