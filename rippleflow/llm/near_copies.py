@@ -3,8 +3,8 @@
 Each distinct set of five-word shingles is a node. Two sets of similarity 0.8 share a shingle
 among the first n - ceil(0.8 n) + 1 of each, in any order that is the same for all sets; so the
 sets that meet under such a shingle are all candidates there are. The order puts shingles that a
-bounded sample finds common last, which only makes candidates fewer. A candidate is let off if
-the parities of 512 shingle classes differ in more places than the sets may; what is left is
+bounded sample finds common last, which only makes candidates fewer. A candidate is let off
+if more shingles stand ahead of the first common one than the sets may differ in, or if the parities of 2,048 shingle classes differ in more places than the sets may; what is left is
 verified on the whole sets.
 
 Sets that meet under one shingle are first compared with a few of them, which joins the members of
@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 
 from . import _kernel as K
 from .components import components
-from .simhash import _LOWER, BROADCAST_ENTRIES
+from .simhash import _LOWER
 
 WORDS = 5
 #: Similarity as a fraction: OVER / UNDER.
 OVER, UNDER = 4, 5
 #: Documents whose shingles are counted for the order, and shingles the order knows as common.
 SAMPLE, COMMON = 10_000, 50_000
+#: Rows of a list of shingles or documents up to which it is broadcast; beyond, it shuffles.
+BROADCAST_ROWS = 1_000_000
 #: Orders by which a shingle's hub is chosen.
 HUBS = 32
-_CLASSES = 512
+_CLASSES = 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,12 +124,16 @@ def common_shingles(df: DataFrame, key: str) -> np.ndarray:
 
 
 def _some(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    return df.join(F.broadcast(few) if few.count() <= BROADCAST_ENTRIES else few, on, "left_semi")
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, "left_semi")
 
 
-def _fit(na: Column, nb: Column) -> Column:
-    """Whether the sizes alone allow the similarity."""
-    return UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)
+def _may(ia: Column, na: Column, ib: Column, nb: Column) -> Column:
+    """Whether sizes and places allow the similarity, if this is the first shingle that both sets have.
+
+    What stands ahead of the first common shingle is in one set alone; a pair that is let off under
+    a later one is still met under its first.
+    """
+    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & ((OVER + UNDER) * (ia + ib) <= (UNDER - OVER) * (na + nb))
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str) -> DataFrame:
@@ -136,12 +142,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str) -> DataF
     b = nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     total = F.col("na") + F.col("nb")
-    likely = pairs.join(a, "a").join(b, "b").where(_fit(F.col("na"), F.col("nb")) & ((OVER + UNDER) * apart <= (UNDER - OVER) * total))
+    likely = pairs.join(a, "a").join(b, "b").where((OVER + UNDER) * apart <= (UNDER - OVER) * total)
     likely = K.stored(likely.select("a", "b", total.alias("total")))
     asked = K.stored(nodes.join(likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select(F.col("least").alias(key)))
-    sets = K.stored(_sets(_some(df, asked, key)).dropDuplicates(["fp"]))
+    sets = K.stored(_sets(_some(df, asked, key)))  # a repeated row has its set twice
     met = likely.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
-    return K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b"))
+    return K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b").distinct())
 
 
 def near_duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -152,20 +158,23 @@ def near_duplicates(df: DataFrame, key: str) -> DataFrame:
     df = df.select(key, "text")
     docs = K.stored(_described(df, [key], common_shingles(df, key)))
     nodes = K.stored(docs.groupBy("fp").agg(F.min(key).alias("least"), F.max("n").alias("n"), F.max("parity").alias("parity")))
-    entry = docs.select(F.explode("prefix").alias("shingle"), "fp", "n")
+    entry = docs.select(F.posexplode("prefix").alias("place", "shingle"), "fp", "n")
     shared = K.stored(entry.groupBy("shingle").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("shingle"))
     entry = K.stored(_some(entry, shared, "shingle").distinct())
-    hubs = entry.groupBy("shingle").agg(F.min_by("fp", F.xxhash64("fp", F.pmod("shingle", F.lit(HUBS)))).alias("hub"))
-    stars = entry.join(hubs, "shingle").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    # the hub has the fewest shingles of its own ahead of the shared one, so it is the likest to the others
+    first = F.struct("place", F.xxhash64("fp", F.pmod("shingle", F.lit(HUBS))))
+    hubs = entry.groupBy("shingle").agg(F.min_by(F.struct("fp", "place", "n"), first).alias("hub"))
+    met = entry.join(hubs, "shingle").where((F.col("fp") != F.col("hub.fp")) & _may(F.col("place"), F.col("n"), F.col("hub.place"), F.col("hub.n")))
+    stars = K.stored(met.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct())
     found = _links(stars, nodes, df, key)
     # what the hubs have not joined: all pairs under a shingle, but those within a component
     parts = K.stored(components(found, "a", "b"))
-    placed = entry.join(parts, entry["fp"] == parts["node"], "left").select("shingle", "fp", "n", F.coalesce("root", "fp").alias("part"))
+    placed = entry.join(parts, entry["fp"] == parts["node"], "left").select("shingle", "fp", "n", "place", F.coalesce("root", "fp").alias("part"))
     open_ = K.stored(placed.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("shingle"))
     placed = K.stored(_some(placed, open_, "shingle"))
-    a = placed.select("shingle", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = placed.select("shingle", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    rest = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    a = placed.select("shingle", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("part").alias("pa"))
+    b = placed.select("shingle", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("part").alias("pb"))
+    rest = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _may(F.col("ia"), F.col("na"), F.col("ib"), F.col("nb"))).select("a", "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     parts = components(found.unionByName(_links(rest, nodes, df, key)), "a", "b")
     parts = K.stored(nodes.join(parts, nodes["fp"] == parts["node"]).select("fp", "root", "least"))
