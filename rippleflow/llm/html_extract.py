@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from html import unescape
 
@@ -24,16 +25,18 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from . import boosting
 
-_TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S
-)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)(?=[a-zA-Z]))")
+_NAME = re.compile(r"[^\s/>]+")
+#: What stands between a tag's name and its end, quoted values whole. Possessive: it never goes back.
+_REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+_STOPS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|([^\s=/"'>]+)""")
 _PART = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head noframes".split())
-_TO_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+#: Elements whose content a browser never shows as text: code, form values, and what stands in for media it can play.
+RAW = frozenset("script style noscript template iframe object svg canvas audio video select textarea title head noframes".split())
+_TO_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 BLOCK = frozenset(
     "html body article section main nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre form fieldset legend address details summary dialog hgroup menu search button label center".split()
 )
@@ -66,6 +69,57 @@ _BAD_TAGS = {"nav": 1, "header": 2, "footer": 4, "aside": 8, "form": 16, "articl
 STICK = 1.5
 #: The least log odds of the block that is kept when all others go.
 FLOOR = -3.0
+#: Nodes whose feature rows stand in memory at once.
+NODES = 1 << 15
+
+
+class Ends:
+    """Where the tags of a page end, in time linear in the page whatever its quotes.
+
+    A tag ends at the first > outside quoted values; if there is none (a quote is never closed), at
+    the first > at all. The quick way reads ahead once for each tag. Once it has run to the end of
+    the page in vain, ends are found by walking from quote to quote, and each opening quote is
+    walked from once.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.stops: list[int] | None = None
+        self.after: dict[int, int] = {}  # opening quote: end of the tag, or -1
+
+    def of(self, at: int) -> int:
+        """The place behind the end of a tag whose name ends at a place before the last >."""
+        if self.stops is None:
+            m = _REST.match(self.html, at)
+            if m:
+                return m.end()
+            self.stops = [m.start() for m in _STOPS.finditer(self.html, at)]
+        end = self._walk(at)
+        return end if end >= 0 else self.html.find(">", at) + 1
+
+    def _walk(self, at: int) -> int:
+        html, stops, walked = self.html, self.stops, []
+        while True:
+            i = bisect_left(stops, at)
+            if i == len(stops):
+                end = -1
+                break
+            stop = stops[i]
+            if html[stop] == ">":
+                end = stop + 1
+                break
+            if stop in self.after:
+                end = self.after[stop]
+                break
+            walked.append(stop)
+            close = html.find(html[stop], stop + 1)
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        for stop in walked:
+            self.after[stop] = end
+        return end
 
 
 class Page:
@@ -81,42 +135,58 @@ class Page:
     def _read(self, html: str) -> None:
         # the stack holds (tag, node) of open elements; inline ones without marks keep their parent's node
         stack: list[tuple[str, int]] = [("", 0)]
+        places: dict[str, list[int]] = {}  # where in the stack the elements of a tag stand
+        blocks: list[int] = []  # and where blocks do
         node, links, at, n = 0, 0, 0, len(html)
-        pieces, search = self.pieces, _TAG.search
+        pieces, ends = self.pieces, Ends(html)
         tag, parent, depth, marks, above, tagged, end, inline = self.tag, self.parent, self.depth, self.marks, self.above, self.tagged, self.end, self.inline
-        while at < n:
-            m = search(html, at)
-            stop = m.start() if m else n
-            if stop > at:
-                text = html[at:stop]
+
+        def pop() -> None:
+            nonlocal links
+            t, k = stack.pop()
+            places[t].pop()
+            if t in BLOCK:
+                blocks.pop()
+            links -= t == "a"
+            if k != stack[-1][1]:
+                end[k] = len(tag)
+
+        begin = 0  # of the text not yet told
+        while True:
+            i = html.find("<", at)
+            m = _OPEN.match(html, i) if i >= 0 else None
+            if i >= 0 and (m is None or (m[4] is not None and i > ends.last)):
+                at = i + 1  # no tag: the character is text
+                continue
+            stop = i if i >= 0 else n
+            if stop > begin:
+                text = html[begin:stop]
                 pieces.append((node, unescape(text) if "&" in text else text, links > 0))
-            if not m:
+            if i < 0:
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if name is None:
+            if m[4] is None:
+                mark = "-->" if m[1] else "]]>" if m[2] else ">"
+                close = html.find(mark, m.end())
+                at = begin = close + len(mark) if close >= 0 else n
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        if name in BLOCK:
-                            pieces.append((node, " ", False))
-                        for t, k in stack[i:]:
-                            links -= t == "a"
-                            if k != stack[i - 1][1]:
-                                end[k] = len(tag)
-                        del stack[i:]
-                        node = stack[-1][1]
-                        break
-                    if name in _FORMAT and stack[i][0] in BLOCK:
-                        break  # a stray inline end tag closes no block
+            word = _NAME.match(html, m.end())
+            at = begin = ends.of(word.end())
+            name = word[0].lower()
+            if m[4]:
+                where = places.get(name)
+                # a stray inline end tag closes no block
+                if where and not (name in _FORMAT and blocks and blocks[-1] > where[-1]):
+                    if name in BLOCK:
+                        pieces.append((node, " ", False))
+                    for _ in range(len(stack) - where[-1]):
+                        pop()
+                    node = stack[-1][1]
                 continue
-            attrs = m[3] or m[6] or ""
+            attrs = html[word.end() : at - 1]
             if name in RAW:
-                close = _TO_END[name].search(html, at) if not attrs.endswith("/") else None
-                if name != "head":
-                    at = close.end() if close else (at if attrs.endswith("/") else n)
+                if name != "head" and not attrs.endswith("/"):
+                    close = _TO_END[name].search(html, at)
+                    at = begin = close.end() if close else n
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
@@ -126,10 +196,7 @@ class Page:
             if name in _CLOSES:
                 pieces.append((node, " ", False))
                 while len(stack) > 1 and (stack[-1][0] in _CLOSES[name] or (stack[-1][0] in _FORMAT and len(stack) > 2 and any(t in _CLOSES[name] for t, _ in stack[-4:-1]))):
-                    t, k = stack.pop()
-                    links -= t == "a"
-                    if k != stack[-1][1]:
-                        end[k] = len(tag)
+                    pop()
                 node = stack[-1][1]
             bits = 0
             if attrs and not attrs.isspace():
@@ -157,69 +224,85 @@ class Page:
                 inline.append(name not in BLOCK)
                 node = mine
             links += name == "a"
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append((name, node))
         for k in range(len(tag)):
             if not end[k]:
                 end[k] = len(tag)
 
 
-
-def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of all nodes of all pages, and each page's first row."""
-    sizes = [len(p.tag) for p in pages]
-    base = np.concatenate([[0], np.cumsum(sizes)])
-    n = int(base[-1])
-    flat = lambda k: np.fromiter((x for p in pages for x in getattr(p, k)), np.int64, n)
-    tag, depth, marks, above, tagged, inline = (flat(k) for k in ("tag", "depth", "marks", "above", "tagged", "inline"))
-    shift = np.repeat(base[:-1], sizes)
-    parent, end = flat("parent"), flat("end") + shift
-    root = parent < 0
-    parent = np.where(root, np.arange(n), parent + shift)
-    own = np.zeros((5, n))  # characters, in links, words, sentence marks, pieces
-    for p, first in zip(pages, base[:-1].tolist()):
-        for k, text, link in p.pieces:
-            size = len(text)
-            if size < 2 and text.isspace():
-                continue
-            words = text.count(" ") + 1
-            i = first + k
-            own[0, i] += size
-            own[1, i] += size * link
-            own[2, i] += words
-            own[3, i] += text.count(".") + text.count(",")
-            own[4, i] += 1
-    sums = np.concatenate([np.zeros((5, 1)), np.cumsum(own, axis=1)], axis=1)
-    sub = sums[:, end] - sums[:, np.arange(n)]
-    tags = np.concatenate([[0], np.cumsum(tagged)])
-    sub_tags = tags[end] - tags[np.arange(n)]
-    page = np.repeat(np.arange(len(pages)), sizes)
-    total = sub[0, base[:-1]][page]
-    kids = np.bincount(parent[~root], minlength=n)
-    # place among siblings: rows are in page order, so a stable sort by parent lines siblings up
-    order = np.argsort(parent, kind="stable")
-    place = np.empty(n, np.int64)
-    same = np.concatenate([[True], parent[order][1:] != parent[order][:-1]])
-    place[order] = np.arange(n) - np.maximum.accumulate(np.where(same, np.arange(n), 0))
-    before, after = np.zeros(n), np.zeros(n)
-    mid = ~same[1:]
-    before[order[1:][mid]] = sub[0][order[:-1][mid]]
-    after[order[:-1][mid]] = sub[0][order[1:][mid]]
-    alike = np.bincount(parent * 64 + tag + 1, minlength=n * 64)[parent * 64 + tag + 1]
-    cols = [
-        depth, kids, alike, place, place / np.maximum(1, kids[parent]), np.log1p(sub[0]), np.log1p(own[0]), np.log1p(sub[2]), sub[1] / np.maximum(1, sub[0]), own[1] / np.maximum(1, own[0]),
-        sub[0] / (1 + sub_tags), sub[3] / np.maximum(1, sub[2]), sub[2] / np.maximum(1, sub[4]), sub[0] / np.maximum(1, total), sub[0] / np.maximum(1, sub[0][parent]), np.log1p(before), np.log1p(after),
-        sub[1][parent] / np.maximum(1, sub[0][parent]), inline, np.arange(n) - base[:-1][page], (end - np.arange(n)),
-    ]
-    cols += [tag == i for i in range(len(TAGS))]
-    cols += [marks >> i & 1 for i in range(13)]
-    cols += [above >> i & 1 for i in range(23)]
-    return np.stack([np.asarray(c, np.float64) for c in cols], axis=1), base
+class Features:
+    """The nodes' features, column by column; rows() puts a part of the nodes together."""
+
+    def __init__(self, pages: list[Page]):
+        sizes = [len(p.tag) for p in pages]
+        base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        n = int(base[-1])
+        flat = lambda k: np.fromiter((x for p in pages for x in getattr(p, k)), np.int64, n)
+        tag, depth, marks, above, tagged, inline = (flat(k) for k in ("tag", "depth", "marks", "above", "tagged", "inline"))
+        shift = np.repeat(base[:-1], sizes)
+        parent, end = flat("parent"), flat("end") + shift
+        root = parent < 0
+        parent = np.where(root, np.arange(n), parent + shift)
+        own = np.zeros((5, n))  # characters, in links, words, sentence marks, pieces
+        for p, first in zip(pages, base[:-1].tolist()):
+            for k, text, link in p.pieces:
+                size = len(text)
+                if size < 2 and text.isspace():
+                    continue
+                words = text.count(" ") + 1
+                i = first + k
+                own[0, i] += size
+                own[1, i] += size * link
+                own[2, i] += words
+                own[3, i] += text.count(".") + text.count(",")
+                own[4, i] += 1
+        sums = np.concatenate([np.zeros((5, 1)), np.cumsum(own, axis=1)], axis=1)
+        sub = sums[:, end] - sums[:, np.arange(n)]
+        tags = np.concatenate([[0], np.cumsum(tagged)])
+        sub_tags = tags[end] - tags[np.arange(n)]
+        page = np.repeat(np.arange(len(pages)), sizes)
+        total = sub[0, base[:-1]][page]
+        kids = np.bincount(parent[~root], minlength=n)
+        # place among siblings: rows are in page order, so a stable sort by parent lines siblings up
+        order = np.argsort(parent, kind="stable")
+        place = np.empty(n, np.int64)
+        same = np.concatenate([[True], parent[order][1:] != parent[order][:-1]])
+        place[order] = np.arange(n) - np.maximum.accumulate(np.where(same, np.arange(n), 0))
+        before, after = np.zeros(n), np.zeros(n)
+        mid = ~same[1:]
+        before[order[1:][mid]] = sub[0][order[:-1][mid]]
+        after[order[:-1][mid]] = sub[0][order[1:][mid]]
+        _, kind, count = np.unique(parent * 64 + tag + 1, return_inverse=True, return_counts=True)
+        alike = count[kind]
+        self.base, self.tag, self.marks, self.above = base, tag, marks, above
+        self.plain = [
+            depth, kids, alike, place, place / np.maximum(1, kids[parent]), np.log1p(sub[0]), np.log1p(own[0]), np.log1p(sub[2]), sub[1] / np.maximum(1, sub[0]), own[1] / np.maximum(1, own[0]),
+            sub[0] / (1 + sub_tags), sub[3] / np.maximum(1, sub[2]), sub[2] / np.maximum(1, sub[4]), sub[0] / np.maximum(1, total), sub[0] / np.maximum(1, sub[0][parent]), np.log1p(before), np.log1p(after),
+            sub[1][parent] / np.maximum(1, sub[0][parent]), inline, np.arange(n) - base[:-1][page], (end - np.arange(n)),
+        ]
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """Feature rows of the nodes a to b."""
+        cols = [c[a:b] for c in self.plain]
+        cols += [self.tag[a:b] == i for i in range(len(TAGS))]
+        cols += [self.marks[a:b] >> i & 1 for i in range(13)]
+        cols += [self.above[a:b] >> i & 1 for i in range(23)]
+        return np.stack([np.asarray(c, np.float64) for c in cols], axis=1)
+
+    def log_odds(self, trees: boosting.Trees) -> np.ndarray:
+        """The trees' verdict on every node; only NODES nodes' rows stand in memory at once."""
+        n = int(self.base[-1])
+        return np.concatenate([trees.log_odds(self.rows(a, min(n, a + NODES))) for a in range(0, n, NODES)])
 
 
 def decode(page: Page, odds: np.ndarray) -> list[bool]:
     """Which nodes are kept: the best labelling in which nothing is kept below a dropped node.
 
-    Nodes without text below them have no say. The root is always kept.
+    Nodes without text below them have no say. The root is always kept. Of equally good labellings,
+    the one that keeps more.
     """
     n = len(page.tag)
     some = [False] * n
@@ -408,7 +491,7 @@ def made_pages(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             if text := text.replace("\x01", "").replace("\x02", ""):
                 clean.append((k, text, link))
         page.pieces = clean
-        x, _ = features([page])
+        x = Features([page]).rows(0, len(page.tag))
         sums = np.concatenate([[[0], [0]], np.cumsum([good, every], axis=1)], axis=1)
         end = np.array(page.end)
         g, e = sums[:, end] - sums[:, np.arange(len(end))]
@@ -429,14 +512,18 @@ def extract_pages(htmls: list[str], trees: boosting.Trees) -> list[str]:
     pages = [Page(h) for h in htmls]
     if not pages:
         return []
-    x, base = features(pages)
-    odds = trees.log_odds(x)
+    found = Features(pages)
+    odds, base = found.log_odds(trees), found.base
     return [text_of(p, decode(p, odds[a:b])) for p, a, b in zip(pages, base[:-1].tolist(), base[1:].tolist())]
 
 
 def extract(df: DataFrame, trees: boosting.Trees, keep: list[str], html: str = "html") -> DataFrame:
-    """Adds text and n_chars (its code points) to the columns keep. Null and empty pages give an
-    empty text; repeated rows stay. Map only."""
+    """Adds text and n_chars (its code points) to the columns keep.
+
+    Null and empty pages give an empty text; repeated rows stay; an empty table gives no rows. Other
+    columns, whatever their names, have no part. Time and memory grow with a page's length, however
+    broken its markup is. Map only.
+    """
 
     def kernel(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
         raw, at = data.tobytes(), offsets.tolist()
