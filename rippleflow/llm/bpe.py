@@ -8,12 +8,13 @@ Encoding has two layers, each of which emits as soon as no later input can chang
   lookahead (sufficient_lookahead) has been read beyond it. A boundary that is final splits
   the text: what follows encodes on its own, so only the lookahead is carried over.
 
-Both keep a bounded buffer, however long a text or a pre-token is. Whole Arrow batches run
-through the same two layers in numpy: pre-token boundaries by character class, then each
-distinct pre-token of a block merged once, all of them together.
+Both keep a bounded buffer, however long a text or a pre-token is. There is one path for all
+texts: the texts of a block run through the transducer side by side, each a stream that reads STEP
+bytes a round and carries over what is not final. A round works on all streams at once in numpy:
+pre-token boundaries by character class, then each distinct pre-token merged once.
 
-Decoding maps ids to bytes and bytes to text through an incremental UTF-8 state machine;
-invalid sequences become U+FFFD.
+Decoding maps ids to bytes and bytes to text through an incremental UTF-8 state machine for each
+stream; invalid sequences become U+FFFD.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +36,8 @@ LETTER, NUMBER, BLANK, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 SPLIT_HOLD = 16
 #: A pre-token over this many bytes is merged window by window.
 LONG_BYTES = 512
+#: Bytes that a stream reads in a round.
+STEP = 1 << 16
 _BIG = np.int64(1) << 40
 
 
@@ -76,6 +80,7 @@ class Bpe:
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
+        self.hold = max([SPLIT_HOLD, *(len(t) + 1 for t in self.specials)])
         size = max([*vocab.values(), *self.specials.values()]) + 1
         self.tokens: list[bytes] = [b""] * size
         for t, i in vocab.items():
@@ -282,7 +287,63 @@ class Bpe:
 
     def encode_rows(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after another, and the number of ids of each row."""
-        return self.encode_split(*self.split(offsets, data), data, len(offsets) - 1)
+        n = len(offsets) - 1
+        parts = list(self.transduce(offsets, data))
+        rows = np.concatenate([np.zeros(0, np.int64), *(np.repeat(r, c) for r, _, c in parts)])
+        ids = np.concatenate([np.zeros(0, np.int64), *(i for _, i, _ in parts)])
+        if len(parts) > 1:
+            ids = ids[np.argsort(rows, kind="stable")]
+        return ids, K.per_row(rows, n)
+
+    def transduce(self, offsets: np.ndarray, data: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Round by round: the rows whose streams still run, the ids that became final, and how many for each row."""
+        begin, read, end = offsets[:-1].copy(), offsets[:-1].copy(), offsets[1:]
+        live = np.flatnonzero(end > begin)
+        while len(live):
+            to = np.minimum(read[live] + max(step, 4), end[live])
+            for _ in range(3):  # never inside a character
+                to -= (to < end[live]) & ((data[np.minimum(to, len(data) - 1)] & 0xC0) == 0x80)
+            read[live] = to
+            size = to - begin[live]
+            whole = len(live) == len(begin) and int(size.sum()) == len(data)
+            flat = data if whole else data[K.ragged(begin[live], size)]
+            ids, counts, done = self.advance(np.concatenate([[0], np.cumsum(size)]), flat, to == end[live])
+            yield live, ids, counts
+            begin[live] += done
+            live = live[begin[live] < end[live]]
+
+    def advance(self, offsets: np.ndarray, data: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is final in the buffers of some streams: ids, how many for each, and the bytes they stand for."""
+        n, size = len(offsets) - 1, np.diff(offsets)
+        s, rows, special = self.split(offsets, data)
+        if ended.all():
+            return *self.encode_split(s, rows, special, data, n), size
+        cut, tails = size.copy(), {}
+        for r in np.flatnonzero(~ended).tolist():
+            a, b = np.searchsorted(rows, [r, r + 1])
+            at = s[a:b] - offsets[r]
+            sure = at[:-2][at[:-2] <= size[r] - self.hold]
+            cut[r] = sure[-1] if len(sure) else 0
+            if len(at) and size[r] - at[-1] > LONG_BYTES + self.lookahead + self.hold and special[b - 1] < 0:
+                # one long pre-token at the end: what stands before it is final, and so is its head
+                cut[r] = at[-1]
+                word = data[offsets[r] + at[-1] : offsets[r + 1]].tobytes()
+                ids = self.merge_long(word)
+                ends = np.cumsum(self.token_len[ids])
+                keep = int(np.searchsorted(ends, len(word) - self.lookahead - self.hold, "right"))
+                tails[r] = ids[:keep], int(ends[keep - 1]) if keep else 0
+        place = s - offsets[rows]
+        on = place < cut[rows]
+        part = np.concatenate([[0], np.cumsum(cut)])
+        ids, counts = self.encode_split(place[on] + part[rows[on]], rows[on], special[on], data[K.ragged(offsets[:-1], cut)], n)
+        if tails:
+            split = np.split(ids, np.cumsum(counts)[:-1])
+            for r, (more, length) in tails.items():
+                split[r] = np.concatenate([split[r], more])
+                counts[r] += len(more)
+                cut[r] += length
+            ids = np.concatenate(split)
+        return ids, counts, cut
 
     def encode_split(self, s: np.ndarray, rows: np.ndarray, special: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The same for pre-tokens that are known: they start at s and end where the next one does."""
@@ -314,41 +375,30 @@ def load(path: str) -> Bpe:
 
 
 class StreamEncoder:
-    """push() text piece by piece, then finish(): the ids are those of the whole text."""
+    """One stream: push() text piece by piece, then finish(): the ids are those of the whole text."""
 
     def __init__(self, bpe: Bpe):
         self.bpe, self.buffer = bpe, b""
-        self.hold = max(SPLIT_HOLD, *(len(t) + 1 for t in bpe.specials)) if bpe.specials else SPLIT_HOLD
 
-    def _encode(self, s: np.ndarray, special: np.ndarray, end: int) -> np.ndarray:
-        """Ids of the buffer up to end, by the split of the whole buffer."""
-        data, on = np.frombuffer(self.buffer, np.uint8)[:end], s < end
-        return self.bpe.encode_split(s[on], np.zeros(on.sum(), np.int64), special[on], data, 1)[0]
+    def _advance(self, ended: bool) -> np.ndarray:
+        """Ids that are final; the bytes of a character that is not whole yet wait."""
+        size = len(self.buffer)
+        if not ended:
+            back = next((i for i in range(1, min(4, size) + 1) if self.buffer[-i] & 0xC0 != 0x80), 0)
+            lead = self.buffer[-back] if back else 0
+            if lead >= 0xC0 and back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+                size -= back
+        data = np.frombuffer(self.buffer, np.uint8)[:size]
+        ids, _, done = self.bpe.advance(np.array([0, size]), data, np.array([ended]))
+        self.buffer = self.buffer[int(done[0]) :]
+        return ids
 
     def push(self, text: str | bytes) -> np.ndarray:
         self.buffer += text.encode() if isinstance(text, str) else text
-        data = np.frombuffer(self.buffer, np.uint8)
-        s, _, special = self.bpe.split(np.array([0, len(data)]), data)
-        final = s[:-2][s[:-2] <= len(data) - self.hold] if len(s) > 2 else s[:0]
-        cut = int(final[-1]) if len(final) else 0
-        limit = LONG_BYTES + self.bpe.lookahead + self.hold
-        if len(s) and len(data) - s[-1] > limit and special[-1] < 0 and cut == (s[-3] if len(s) > 2 else 0):
-            # one long pre-token at the end: what stands before it is final, and so is its head
-            head, word = self._encode(s, special, int(s[-1])), self.buffer[int(s[-1]) :]
-            ids = self.bpe.merge_long(word)
-            ends = np.cumsum(self.bpe.token_len[ids])
-            keep = int(np.searchsorted(ends, len(word) - self.bpe.lookahead - self.hold, "right"))
-            self.buffer = word[int(ends[keep - 1]) if keep else 0 :]
-            return np.concatenate([head, ids[:keep]])
-        out = self._encode(s, special, cut)
-        self.buffer = self.buffer[cut:]
-        return out
+        return self._advance(False)
 
     def finish(self) -> np.ndarray:
-        data = np.frombuffer(self.buffer, np.uint8)
-        out, _ = self.bpe.encode_rows(np.array([0, len(data)]), data)
-        self.buffer = b""
-        return out
+        return self._advance(True)
 
 
 class StreamDecoder:
@@ -359,52 +409,41 @@ class StreamDecoder:
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def push(self, ids: np.ndarray) -> str:
-        return self.machine.decode(self.bpe.decode_bytes(np.asarray(ids, np.int64)).tobytes())
+        return self.push_bytes(self.bpe.decode_bytes(np.asarray(ids, np.int64)).tobytes())
+
+    def push_bytes(self, data: bytes) -> str:
+        return self.machine.decode(data)
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
 
 
-def _digest_long(bpe: Bpe, data: np.ndarray, step: int = 1 << 20) -> tuple[int, str, str]:
-    """One very long text, in constant memory."""
-    enc, dec = StreamEncoder(bpe), StreamDecoder(bpe)
-    ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-
-    def take(ids: np.ndarray) -> None:
-        nonlocal n
-        if len(ids):
-            text, _ = bpe.digits(ids, np.array([len(ids)]))
-            ids_hash.update((b"," if n else b"") + text[:-1].tobytes())
-            text_hash.update(dec.push(ids).encode())
-            n += len(ids)
-
-    for at in range(0, len(data), step):
-        take(enc.push(data[at : at + step].tobytes()))
-    take(enc.finish())
-    text_hash.update(dec.finish().encode())
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
-
-
-def encode_decode(df: DataFrame, path: str, keep: list[str], long_bytes: int = K.BLOCK_BYTES) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, keep: list[str], step: int = STEP) -> DataFrame:
     """Encode and decode the column text. Adds n_tokens, ids_sha256 (of the decimal ids joined by
-    commas) and decoded_sha256 (of the decoded text in UTF-8); null counts as empty. Map only."""
+    commas) and decoded_sha256 (of the decoded text in UTF-8).
+
+    Null counts as empty: no ids, and the digests of nothing. Every text, however long, runs through
+    the transducer, step bytes a round, and its ids through the decoder. Repeated rows stay; an empty
+    table gives no rows. Map only.
+    """
 
     def kernel(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
         bpe, n = load(path), len(offsets) - 1
-        if n == 1 and len(data) > long_bytes:
-            count, a, b = _digest_long(bpe, data)
-            return {"n_tokens": pa.array([count], pa.int64()), "ids_sha256": pa.array([a]), "decoded_sha256": pa.array([b])}
-        ids, counts = bpe.encode_rows(offsets, data)
-        text, size = bpe.digits(ids, counts)
-        raw, out = text.tobytes(), bpe.decode_bytes(ids)
-        at = np.concatenate([[0], np.cumsum(size)]).tolist()
-        ends = np.concatenate([[0], np.cumsum(bpe.token_len[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        whole = out.tobytes()
-        first = [hashlib.sha256(raw[a : b - 1 if b > a else b]).hexdigest() for a, b in zip(at, at[1:])]
-        second = []
-        for a, b in zip(ends, ends[1:]):
-            machine = codecs.getincrementaldecoder("utf-8")("replace")
-            second.append(hashlib.sha256(machine.decode(whole[a:b], True).encode()).hexdigest())
-        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
+        total = np.zeros(n, np.int64)
+        first, second = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+        decoders = [StreamDecoder(bpe) for _ in range(n)]
+        for rows, ids, counts in bpe.transduce(offsets, data, step):
+            text, size = bpe.digits(ids, counts)
+            raw, out = text.tobytes(), bpe.decode_bytes(ids).tobytes()
+            at = np.concatenate([[0], np.cumsum(size)]).tolist()
+            ends = np.concatenate([[0], np.cumsum(bpe.token_len[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            for i, r in enumerate(rows.tolist()):
+                if at[i] < at[i + 1]:
+                    first[r].update((b"," if total[r] else b"") + raw[at[i] : at[i + 1] - 1])
+                    second[r].update(decoders[r].push_bytes(out[ends[i] : ends[i + 1]]).encode())
+            total[rows] += counts
+        for h, d in zip(second, decoders):
+            h.update(d.finish().encode())
+        return {"n_tokens": pa.array(total, pa.int64()), "ids_sha256": pa.array([h.hexdigest() for h in first], pa.string()), "decoded_sha256": pa.array([h.hexdigest() for h in second], pa.string())}
 
     return K.map_text(K.cast_text(df, keep), kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)
