@@ -45,6 +45,25 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0)).cast("int")
 
 
+def sampled(df: DataFrame, key: str, limit: int, text: str = "text") -> DataFrame:
+    """The texts of at most limit documents, those whose keys have the least hashes, one row for each key.
+
+    Of several rows of a key, the one whose text has the least hash stands for it. The choice depends
+    on the rows alone, not on their order or partitions.
+    """
+    ids = df.select(F.col(key).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    rows = df.select(F.col(key).alias("_key"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(ids), F.col("_key") == F.col("_id"))  # at most `limit` ids
+    return one_each(rows, "_key").select("text")
+
+
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key: the one whose text has the least hash, and of equal hashes the least text."""
+    rest = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64("text"), "text")).alias("_one"))
+    return one.select(key, "_one.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
@@ -63,7 +82,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the folders of stored() tables that nothing reads any more."""
+    for df in dfs:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_rows(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

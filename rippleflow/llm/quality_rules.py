@@ -1,16 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-A rule looks at a block of texts and tells which of them it rejects. Each rule's cost and
-selectivity are measured on a sample of documents; rules then run in the order of rejections per
-cost, each on the texts alone that all rules before it passed. Since a text is kept only if no
-rule rejects it, the order changes the work, never the verdict.
+A rule looks at a block of texts and tells which of them it rejects. What rules look at (word
+counts, repeated words, ...) is worked out once for a block and goes with the texts that stay, so a
+rule costs what it needs and no rule before it needed. Costs of rules and of what they need, and
+which rules reject which texts, are measured on a sample of documents; rules then run in the order
+of rejections per cost, each step counting only texts that are still there and work that is still
+to do. Each rule runs on the texts alone that all rules before it passed. Since a text is kept only
+if no rule rejects it, the order changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -22,6 +25,8 @@ from . import _kernel as K
 
 #: Documents that costs and selectivities are measured on.
 SAMPLE = 2_000
+#: Share of a block's bytes from which on rejected texts are cut out.
+PICK_SHARE = 1 / 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -30,6 +35,10 @@ _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 
 
+#: What rules look at, one number for each text; a later one may rest on earlier ones.
+COUNTS = ("n_words", "word_chars", "n_symbols", "upper_share", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 class Block:
     """A block of texts; what rules share is computed once, when first asked for."""
 
@@ -37,11 +46,29 @@ class Block:
         self.offsets, self.data, self.n = offsets, data, len(offsets) - 1
 
     def pick(self, rows: np.ndarray) -> "Block":
-        """The block of some rows alone."""
+        """The block of some rows alone, with what is known of them; bytes are copied row by row, not gathered."""
         if len(rows) == self.n:
             return self
-        size = np.diff(self.offsets)[rows]
-        return Block(np.concatenate([[0], np.cumsum(size)]), self.data[K.ragged(self.offsets[:-1][rows], size)])
+        offsets = np.concatenate([[0], np.cumsum(np.diff(self.offsets)[rows])])
+        spans = list(zip(self.offsets[:-1][rows].tolist(), self.offsets[1:][rows].tolist()))
+
+        def part(whole: np.ndarray) -> np.ndarray:
+            view = memoryview(np.ascontiguousarray(whole)).cast("B")
+            return np.frombuffer(b"".join([view[a:b] for a, b in spans]), whole.dtype)
+
+        out = Block(offsets, part(self.data))
+        for name in COUNTS:
+            if name in self.__dict__:
+                out.__dict__[name] = self.__dict__[name][rows]
+        if "words" in self.__dict__:
+            s, e, row, inside = self.words
+            number = np.full(self.n, -1)
+            number[rows] = np.arange(len(rows))
+            stay = number[row] >= 0
+            new = number[row[stay]]
+            shift = (offsets[:-1] - self.offsets[:-1][rows])[new]
+            out.__dict__["words"] = s[stay] + shift, e[stay] + shift, new, part(inside)
+        return out
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         """True bytes of each row."""
@@ -143,47 +170,104 @@ RULES = [
 ]
 
 
-def measure(df: DataFrame, rules: list[Rule], key: str = "doc_id", sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """Each rule's seconds for a text and share of rejected texts, on a sample chosen by hash."""
-    ids = df.select(F.col(key).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    docs = df.select(F.col(key).alias("_key"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("_key") == F.col("_id")).select("text")  # at most `sample` ids
+@dataclass
+class Measured:
+    """Seconds for a text of each rule and of each count, what counts a rule needs, and how many
+    sampled texts each set of rules (bit i: rule i) rejects."""
+
+    rules: dict[str, float] = field(default_factory=dict)
+    counts: dict[str, float] = field(default_factory=dict)
+    needs: dict[str, frozenset[str]] = field(default_factory=dict)
+    hits: dict[int, int] = field(default_factory=dict)
+
+
+def _timed(block: Block, rules: list[Rule]) -> tuple[dict[str, float], dict[str, float], dict[str, frozenset[str]], np.ndarray]:
+    """Seconds of the counts in their order and of the rules once these stand, what each rule needs, and the set of rules that reject each row."""
+    counts, spent, needs, mask = {}, {}, {}, np.zeros(block.n, np.int64)
+    for name in COUNTS:
+        began = time.process_time()
+        getattr(block, name)
+        counts[name] = time.process_time() - began
+    for i, rule in enumerate(rules):
+        began = time.process_time()
+        mask |= rule.rejects(block).astype(np.int64) << i
+        spent[rule.name] = time.process_time() - began
+        few = Block(block.offsets[:2], block.data[: block.offsets[1]]) if block.n else Block(np.zeros(1, np.int64), block.data[:0])
+        rule.rejects(few)
+        needs[rule.name] = frozenset(x for x in COUNTS if x in few.__dict__)
+    return counts, spent, needs, mask
+
+
+def measure(df: DataFrame, rules: list[Rule], key: str = "doc_id", sample: int = SAMPLE) -> Measured:
+    """Costs and selectivities on a sample of at most `sample` documents, chosen by hash."""
+    docs = K.sampled(df, key, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, hit, rows = [0.0] * len(rules), [0] * len(rules), 0
+        out, rows = [], 0
         for batch in batches:
             offsets, data = K.text_rows(batch, "text")
             for a, b in K.blocks(offsets):
                 rows += b - a
-                for i, rule in enumerate(rules):
-                    block = Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                    began = time.process_time()
-                    hit[i] += int(rule.rejects(block).sum())
-                    spent[i] += time.process_time() - began
-        yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent), pa.array(hit, pa.int64()), pa.array([rows] * len(rules), pa.int64())], names=["name", "spent", "hit", "n"])
-
-    got = K.map_arrow(docs, run, "name string, spent double, hit long, n long").groupBy("name").agg(F.sum("spent"), F.sum("hit"), F.sum("n")).collect()
-    return {r[0]: (r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in got}
-
-
-def ordered(rules: list[Rule], measured: dict[str, tuple[float, float]]) -> list[Rule]:
-    """By rejections per cost, the most first; rules that were not measured come last."""
+                counts, spent, needs, mask = _timed(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), rules)
+                out += [("count", x, v, 0, "") for x, v in counts.items()]
+                out += [("rule", x, v, 0, ",".join(sorted(needs[x]))) for x, v in spent.items()]
+                out += [("mask", str(m), 0.0, k, "") for m, k in zip(*(x.tolist() for x in np.unique(mask, return_counts=True)))]
+        out.append(("rows", "", 0.0, rows, ""))
+        kind, name, seconds, n, needs = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(name), pa.array(seconds), pa.array(n, pa.int64()), pa.array(needs)], names=["kind", "name", "seconds", "n", "needs"])
+
+    got = K.map_arrow(docs, run, "kind string, name string, seconds double, n long, needs string").groupBy("kind", "name").agg(F.sum("seconds"), F.sum("n"), F.max("needs")).collect()  # some rows for each rule
+    n = max(1, sum(r[3] for r in got if r[0] == "rows"))
+    m = Measured()
+    for kind, name, seconds, k, needs in got:
+        if kind == "count":
+            m.counts[name] = seconds / n
+        elif kind == "rule":
+            m.rules[name], m.needs[name] = seconds / n, frozenset(needs.split(",")) - {""}
+        elif kind == "mask":
+            m.hits[int(name)] = k
+    return m
+
+
+def ordered(rules: list[Rule], measured: Measured, known: frozenset[str] = frozenset()) -> list[Rule]:
+    """By rejections per cost, the most first: of the texts that are left, for the work that is left.
+
+    known: counts that are at hand whatever the rules ask. Rules that were not measured come last.
+    """
+    left, out, hits, have = [r for r in rules if r.name in measured.rules], [], dict(measured.hits), set(known)
+    bit = {r.name: 1 << i for i, r in enumerate(rules)}
+    while left:
 
-    def worth(rule: Rule) -> float:
-        cost, share = measured.get(rule.name, (0.0, -1.0))
-        return share / (cost + 1e-9)
+        def worth(r: Rule) -> float:
+            cost = measured.rules[r.name] + sum(measured.counts.get(x, 0.0) for x in measured.needs[r.name] - have)
+            return sum(k for m, k in hits.items() if m & bit[r.name]) / (cost + 1e-12)
 
-    return sorted(rules, key=worth, reverse=True)
+        best = max(left, key=worth)
+        left.remove(best)
+        out.append(best)
+        have |= measured.needs[best.name]
+        hits = {m: k for m, k in hits.items() if not m & bit[best.name]}
+    return out + [r for r in rules if r.name not in measured.rules]
 
 
 def cascade(block: Block, rules: list[Rule], alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of kept rows, and for each row the number of the rule that rejected it (-1: none)."""
+    """Mask of kept rows, and for each row the number of the rule that rejected it (-1: none).
+
+    Rejected texts leave the block as soon as they are PICK_SHARE of its bytes; fewer cost less to
+    carry along than to cut out.
+    """
     alive = np.ones(block.n, bool) if alive is None else alive.copy()
     by = np.full(block.n, -1)
+    size = np.diff(block.offsets)
+    rows, part = np.arange(block.n), block
     for i, rule in enumerate(rules):
-        rows = np.flatnonzero(alive)
-        if not len(rows):
+        on = alive[rows]
+        if not on.any():
             break
-        out = rows[rule.rejects(block.pick(rows))]
+        if size[rows[~on]].sum() >= PICK_SHARE * size[rows].sum():
+            rows, part = rows[on], part.pick(np.flatnonzero(on))
+            on = alive[rows]
+        out = rows[rule.rejects(part) & on]
         alive[out] = False
         by[out] = i
     return alive, by
@@ -200,21 +284,25 @@ def keep_rows(df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     return K.map_text(K.cast_text(df, keep), kernel, "kept boolean, rejected_by string", keep)
 
 
+#: What report() tells of every text.
+TOLD = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def report(df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """Adds the base counts of every text, base_failed and kept.
 
     The base rules need counts that are told anyway, so they come first; the other rules run as a
-    cascade on what those leave. Null counts as a text without words.
+    cascade on what those leave, with the counts at hand. Null counts as a text without words.
     """
     base, more = [r for r in rules if r.base], [r for r in rules if not r.base]
 
     def kernel(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
         b = Block(offsets, data)
+        counts = {k: pa.array(getattr(b, k), pa.int64()) for k in TOLD}
         failed = np.zeros(b.n, bool)
         for r in base:
             failed |= r.rejects(b)
         kept, _ = cascade(b, more, ~failed)
-        counts = {k: pa.array(getattr(b, k), pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
         return counts | {"base_failed": pa.array(failed), "kept": pa.array(kept)}
 
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -222,5 +310,29 @@ def report(df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
 
 
 def judge(df: DataFrame, rules: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every document.
+
+    Null and empty texts have no words, so a base rule fails them; repeated rows stay; an empty table
+    gives no rows. The verdict does not depend on the sample or on ties in the order of rules.
+    """
     rules = RULES if rules is None else rules
-    return report(df, ordered(rules, measure(df, rules)), ["doc_id"] if keep is None else keep)
+    return report(df, ordered(rules, measure(df, rules), frozenset(TOLD)), ["doc_id"] if keep is None else keep)
+
+
+#: DuckDB SQL for judge() with RULES over `documents`.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+c AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(t, '[^a-z]', '', 'g')) AS low
+  FROM w
+), g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+repeated AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS at FROM twice, (VALUES (0), (1), (2)) v(k)) GROUP BY r),
+told AS (SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, len(lines) AS n_lines, up, low FROM c LEFT JOIN repeated USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM told)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 2 * n_words OR 2 * up > greatest(1, up + low) OR 10 * n_dup_lines > 5 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM failed
+"""
