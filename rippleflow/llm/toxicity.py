@@ -1,10 +1,12 @@
 """Toxicity through a noisy channel.
 
-A text's tokens are restored before they are scored. A token that shows noise (digits or
-symbols among letters, a letter three times running, letters spelt one by one with spaces)
+A text's tokens are restored before they are scored. A token that may show noise (digits or
+symbols among letters, a letter twice or more running, letters spelt one by one with spaces)
 becomes a character lattice: leet characters stand for letters, separators and repetitions can
 vanish, gaps between spelt letters can close. Viterbi decoding under a character trigram model
-of the whole corpus picks the path. Other tokens have a single path and pass as they are.
+of the whole corpus picks the best path of all; what is longer than PIECE characters is decoded
+piece by piece, each from the end of the one before. Other tokens have a single path and pass as
+they are. Neighbouring tokens that together begin like a telling word are decoded together.
 
 Restored words and their beginnings are features; those that tell toxic rows are combined by a
 noisy or, since one slur is enough. They are learned from labelled rows of two folds only, a
@@ -28,9 +30,11 @@ from . import _kernel as K
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_TRAIN = 12_000
-#: Bound of the features that the fit chooses from.
-MAX_FEATURES = 6_000
 THRESHOLD = 0.7
+#: Characters that are decoded at once.
+PIECE = 256
+#: States from which on a step of the decoder is taken on arrays.
+DENSE = 48
 
 # Symbols of the language model: 0 is a word's border, 1 to 26 a to z, then Latin-1's small
 # letters, and one for any other letter.
@@ -51,12 +55,12 @@ WILD = "*#"
 #: Log channel probabilities.
 LEET_COST, WILD_COST, LEET_DROP, SEPARATOR_DROP, SEPARATOR_BORDER = -0.7, -3.5, -10.0, -0.3, -0.7
 GAP_CLOSES, GAP_STAYS, RUN_DROP, PAIR_DROP = -0.2, -2.5, -0.2, -7.0
-#: The least number of toxic rows, and share of them, that a feature must explain.
-LEAST_ROWS, LEAST_SHARE = 3, 0.01
-#: The least precision of a feature that tells toxic texts.
-PRECISION = 0.94
+#: The least number of toxic rows that a feature must explain.
+LEAST_ROWS = 3
+#: The least precision of a feature that tells toxic texts, and the chance that any feature gets there by luck.
+PRECISION, LUCK = 0.94, 0.05
 
-_THREE = re.compile(r"(.)\1\1")
+_TWO = re.compile(r"(.)\1")
 _EDGE = re.compile(r"^(?:([^\w\s])\1{2,}|[\"'“”‘’«»(\[{<,.;:?¿…-])+|(?:([^\w\s])\2{2,}|[\"'“”‘’«»)\]}>,.;:?!…-])+$")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 
@@ -120,11 +124,15 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+State = tuple[int, int]
+
+
 class Restorer:
-    """Restores noisy tokens; one for each Python worker, with a bounded memory of tokens."""
+    """Restores noisy tokens; one for each Python worker."""
 
     def __init__(self, model: np.ndarray):
-        self.lm = model.ravel().tolist()
+        self.cube = model.astype(np.float64)
+        self.lm = self.cube.ravel().tolist()
 
     def lattice(self, chars: str) -> list[list[tuple[int, float, bool]]]:
         """For each character: (symbol or -1 for none, log probability, only after the same symbol)."""
@@ -157,10 +165,26 @@ class Restorer:
 
     def decode(self, chars: str) -> str:
         """The best path's words, with a space where the path has a border."""
+        out: list[str] = []
+        start: State = (BORDER, BORDER)
+        lattice = self.lattice(chars)
+        for at in range(0, len(chars), PIECE):
+            last = at + PIECE >= len(chars)
+            path, start = self.best(lattice[at : at + PIECE], start, last)
+            out += [" " if s == BORDER else LETTER_OF[s] if s < OTHER_LETTER else chars[at + i] for i, s in path]
+        return "".join(out).strip()
+
+    def best(self, lattice: list[list[tuple[int, float, bool]]], start: State, last: bool) -> tuple[list[tuple[int, int]], State]:
+        """The best path from a state: (character, symbol) of what it emits, and the state at its end.
+
+        A path that ends the token (last) also pays for the border behind it.
+        """
         lm = self.lm
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BORDER, BORDER): (0.0, None)}
-        for at, edges in enumerate(self.lattice(chars)):
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        states: dict[State, tuple[float, tuple | None]] = {start: (0.0, None)}
+        for at, edges in enumerate(lattice):
+            if len(states) >= DENSE:
+                return self._dense(lattice, at, states, last)
+            new: dict[State, tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 base = (a << 12) + (b << 6)
                 for s, cost, same in edges:
@@ -173,27 +197,70 @@ class Restorer:
                     old = new.get(key)
                     if old is None or total > old[0]:
                         new[key] = (total, step)
-            if len(new) > 64:
-                new = dict(sorted(new.items(), key=lambda x: -x[1][0])[:64])
             states = new
-        (_, _), (_, path) = max(states.items(), key=lambda x: x[1][0] + (lm[(x[0][0] << 12) + (x[0][1] << 6)] if x[0][1] else 0.0))
-        out = []
-        while path:
-            path, s, at = path
-            out.append(" " if s == BORDER else LETTER_OF[s] if s < OTHER_LETTER else chars[at])
-        return "".join(reversed(out)).strip()
+        end, (_, path) = max(states.items(), key=lambda x: x[1][0] + (self.closing(x[0]) if last else 0.0))
+        return _steps(path), end
+
+    def closing(self, state: State) -> float:
+        return self.lm[(state[0] << 12) + (state[1] << 6)] if state[1] else 0.0
+
+    def _dense(self, lattice: list[list[tuple[int, float, bool]]], first: int, states: dict[State, tuple[float, tuple | None]], last: bool) -> tuple[list[tuple[int, int]], State]:
+        """best() from a character on, where wild characters have opened many states: all states of the symbols that occur, as arrays."""
+        symbols = sorted({BORDER, *(x for k in states for x in k), *(s for edges in lattice[first:] for s, *_ in edges if s >= 0)})
+        number = {s: i for i, s in enumerate(symbols)}
+        cube = self.cube[np.ix_(symbols, symbols, symbols)]
+        score = np.full((len(symbols), len(symbols)), -np.inf)
+        for (a, b), (x, _) in states.items():
+            score[number[a], number[b]] = x
+        backs = []
+        for edges in lattice[first:]:
+            cost = np.full(len(symbols), -np.inf)
+            skip, skip_same, border = -np.inf, -np.inf, -np.inf
+            for s, c, same in edges:
+                if s < 0:
+                    skip, skip_same = (skip, max(skip_same, c)) if same else (max(skip, c), skip_same)
+                else:
+                    cost[number[s]] = max(cost[number[s]], c)
+                    border = max(border, c) if s == BORDER else border
+            every = score[:, :, None] + cube
+            before = every.argmax(axis=0)
+            new = np.take_along_axis(every, before[None], axis=0)[0] + cost
+            new[0, 0] = -np.inf  # a border behind a border is none: the state stays
+            stay = score + max(skip, skip_same)
+            stay[:, 0] = score[:, 0] + max(skip, border)
+            stays = stay >= new
+            backs.append(np.where(stays, -1, before))
+            score = np.where(stays, stay, new)
+        close = cube[:, :, 0].copy()
+        close[:, 0] = 0.0
+        a, b = np.unravel_index(int((score + close if last else score).argmax()), score.shape)
+        end, tail = (symbols[a], symbols[b]), []
+        for at in range(len(lattice) - 1, first - 1, -1):
+            back = int(backs[at - first][a, b])
+            if back >= 0:
+                tail.append((at, symbols[b]))
+                a, b = back, a
+        return _steps(states[symbols[a], symbols[b]][1]) + tail[::-1], end
 
     def restore(self, token: str) -> str:
         """A token's restored words."""
         low = token.lower()
-        if low.isalpha() and not _THREE.search(low):
+        if low.isalpha() and not _TWO.search(low):
             return low
         low = _EDGE.sub("", low)
-        if (low.isalpha() and not _THREE.search(low)) or not _HAS_LETTER.search(low):
+        if (low.isalpha() and not _TWO.search(low)) or not _HAS_LETTER.search(low):
             return low
         return self.decode(low)
 
 
+def _steps(path: tuple | None) -> list[tuple[int, int]]:
+    out = []
+    while path:
+        path, s, at = path
+        out.append((at, s))
+    return out[::-1]
+
+
 def features_of(words: str) -> list[str]:
     """A word and its beginnings of four, five and six letters."""
     out = []
@@ -227,21 +294,39 @@ class Reader:
 
     def __init__(self, model: np.ndarray, ids: dict[str, int] | None):
         self.restorer, self.ids, self.memory = Restorer(model), ids, {}
+        stems = {x.rstrip("-") for x in ids or ()}
+        self.stems, self.heads = stems, {x[:n] for x in stems for n in range(1, len(x))}
 
     def read(self, words: str) -> list:
         names = features_of(words)
         return names if self.ids is None else [self.ids[x] for x in names if x in self.ids]
 
-    def tokens(self, found: list[bytes]) -> list[list]:
+    def tokens(self, found: list[bytes]) -> tuple[list[list], np.ndarray]:
+        """The features of each token, and whether a telling word may begin with it and go on in the next one."""
         if len(self.memory) > 150_000:
             self.memory = {}
         memory, out = self.memory, []
         for t in found:
             got = memory.get(t)
             if got is None:
-                memory[t] = got = self.read(self.restorer.restore(t.decode()))
+                words = self.restorer.restore(t.decode())
+                memory[t] = got = (self.read(words), words in self.heads)
             out.append(got)
-        return out
+        return [x for x, _ in out], np.array([y for _, y in out], bool)
+
+    def split_words(self, found: list[bytes], codes: np.ndarray, rows: np.ndarray, heads: np.ndarray) -> Iterator[tuple[int, list]]:
+        """(first token, features) of telling words that are split over neighbouring tokens."""
+        n = len(codes)
+        for a in np.flatnonzero(heads[codes]).tolist():
+            b, word = a, ""
+            raw: list[str] = []
+            while b < n and rows[b] == rows[a] and (not word or word in self.heads):
+                raw.append(found[codes[b]].decode().lower())
+                word += self.restorer.restore(raw[-1])
+                b += 1
+            if b - a > 1 and any(word[:k] in self.stems for k in range(1, len(word) + 1)):
+                if got := self.read(self.restorer.decode(" ".join(_EDGE.sub("", x) for x in raw))):
+                    yield a, got
 
     def pairs(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list]:
         """(row, feature) pairs, with repetitions, as two arrays."""
@@ -250,7 +335,7 @@ class Reader:
             return np.zeros(0, np.int64), []
         codes, found = K.encode_words(data, inside, s, e)
         found = found.to_pylist()
-        lists = self.tokens(found)
+        lists, heads = self.tokens(found)
         size = np.array([len(x) for x in lists], np.int64)
         some = np.flatnonzero(size[codes])
         flat = [x for c in codes[some].tolist() for x in lists[c]]
@@ -258,8 +343,8 @@ class Reader:
         single = np.array([len(t) <= 4 and len(x := t.decode()) == 1 and (x.isalpha() or x in _SPELT) for t in found])
         more_rows, more = [], []
         texts = [t.decode() if one else "" for t, one in zip(found, single)] if single.any() else []
-        for a, _, spelt in spelt_runs(texts, codes, rows, single) if texts else []:
-            got = self.read(self.restorer.decode(spelt))
+        together = [(a, self.read(self.restorer.decode(spelt))) for a, _, spelt in spelt_runs(texts, codes, rows, single)] if texts else []
+        for a, got in [*together, *self.split_words(found, codes, rows, heads)]:
             more += got
             more_rows += [rows[a]] * len(got)
         return np.concatenate([at, np.array(more_rows, np.int64)]), flat + more
@@ -275,11 +360,12 @@ class Model:
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, text, y) of at most limit labelled documents of the training folds, spread by hash."""
+    """(doc_id, text, y) of at most limit labelled documents of the training folds, spread by hash; one row for each doc_id."""
     one = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).where("_id is not null and y in (0, 1)")
     one = one.where(K.fold(F.col("_id")) != 1).groupBy("_id").agg(F.max("y").alias("y"))
     one = one.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return docs.join(F.broadcast(one), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")  # at most `limit` rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(one), F.col("doc_id") == F.col("_id"))  # at most `limit` ids
+    return K.one_each(rows.select("doc_id", "text", "y"), "doc_id")
 
 
 def _feature_counts(train: DataFrame, lm: np.ndarray) -> DataFrame:
@@ -318,12 +404,22 @@ def _active(train: DataFrame, lm: np.ndarray, ids: dict[str, int]) -> DataFrame:
     return K.map_arrow(train, run, "y int, ids array<int>")
 
 
-def choose(rows: list[tuple[int, tuple[int, ...]]], names: list[str], least: int = 3, demand: int = 3) -> dict[int, float]:
+def evident(bad: np.ndarray, good: np.ndarray, share: float, tests: int) -> np.ndarray:
+    """Whether so many bad and good rows are too many bad ones for luck, toxic rows being a share of all
+    and so many features being tried: Chernoff's bound on the binomial tail."""
+    n = np.maximum(bad + good, 1e-9)
+    p = bad / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(bad > 0, bad * np.log(p / share), 0.0) + np.where(good > 0, good * np.log((1 - p) / (1 - share)), 0.0)
+    return (p > share) & (gain >= np.log(max(1, tests) / LUCK))
+
+
+def choose(rows: list[tuple[int, tuple[int, ...]]], names: list[str], least: int = 3, demand: int = 3, tests: int = 0) -> dict[int, float]:
     """Features that tell toxic rows at PRECISION or better, and their precision.
 
     Greedy cover: again and again the feature that most toxic rows have of which fewer than `demand`
     features are chosen; of a word and its beginnings, one is taken. Rows of equal features count
-    once, so copies do not add up.
+    once, so copies do not add up. A feature must be evident() among `tests` tried ones (0: no such demand).
     """
     n = len(names)
     stems = [x.rstrip("-") for x in names]
@@ -341,6 +437,8 @@ def choose(rows: list[tuple[int, tuple[int, ...]]], names: list[str], least: int
                 having.setdefault(i, []).append(ids)
     precision = (bad + 0.1) / (bad + good + 0.2)
     fit, gain = precision >= PRECISION, bad.copy()
+    if tests:
+        fit &= evident(bad, good, min(0.5, max(1e-6, sum(y for y, _ in rows) / len(rows))), tests)
     wanted = {ids: demand for y, ids in groups if y and ids}
     chosen: dict[int, float] = {}
     while wanted:
@@ -370,13 +468,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     model = Model(lm, (bad + 1) / (n + 2))
     if not bad or bad == n:
         return model
-    counts = _feature_counts(train, lm)
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (n - bad + 1))
-    names = [r["name"] for r in counts.where(F.col("bad") >= 3).where(odds >= 2).orderBy((odds * F.sqrt("bad")).desc(), "name").limit(MAX_FEATURES).collect()]
+    counts = K.stored(_feature_counts(train, lm).where(F.col("bad") >= LEAST_ROWS))
+    tests = counts.count()
+    share = F.lit(min(0.5, bad / n))
+    p = F.col("bad") / (F.col("bad") + F.col("good"))
+    gain = F.col("bad") * F.log(p / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    told = counts.where((p > share) & (gain >= F.log(F.lit(max(1, tests) / LUCK))))
+    names = [r["name"] for r in told.select("name").orderBy("name").collect()]  # words that at least so many of the sampled rows have
     if not names:
         return model
     rows = [(r["y"], tuple(r["ids"])) for r in _active(train, lm, {x: i for i, x in enumerate(names)}).collect()]  # at most `limit` rows
-    kept = choose(rows, names, max(LEAST_ROWS, round(LEAST_SHARE * bad)))
+    kept = choose(rows, names, LEAST_ROWS, tests=tests)
     rest = [y for y, ids in rows if not any(i in kept for i in ids)]
     model.prior = (sum(rest) + 1) / (len(rest) + 2)
     model.weights = {names[i]: q for i, q in kept.items()}
@@ -435,7 +537,12 @@ def restore(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document.
+
+    Null and empty texts score the prior. Repeated rows stay and score alike; a null doc_id is in fold
+    0. Without labels of both kinds every text scores the smoothed rate of label 1. An empty table
+    gives no rows. Of labels that contradict each other, 1 holds.
+    """
     model = fit(docs, labels, limit)
     out = score(docs, model, ["doc_id"])
     return out.select("doc_id", (K.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
