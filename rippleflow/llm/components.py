@@ -30,19 +30,20 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, a: str, b: str, most: int = 100) -> DataFrame:
-    """(node, root) of each node that has a link: root is the component's least node."""
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) of each node that has a link: root is the component's least node.
+
+    The steps end where nothing changes any more; their number grows with the logarithm of the longest chain.
+    """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = K.stored(edges)
     state = _state(edges)
-    for _ in range(most if state[0] else 0):
-        edges = K.stored(_small(_large(edges).where("u <> v").distinct()).where("u <> v").distinct())
+    while state[0]:
+        before, edges = edges, K.stored(_small(_large(edges).where("u <> v").distinct()).where("u <> v").distinct())
+        K.discard(before)
         now = _state(edges)
         if now == state:
             break
         state = now
-    else:
-        if state[0]:
-            raise RuntimeError(f"components not settled after {most} steps")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

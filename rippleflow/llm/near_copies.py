@@ -1,14 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles, at least 0.8.
+"""Near copies by exact Jaccard similarity of five-word shingles, at least 0.8.
 
-Each distinct set of five-word shingles is a node. Two sets of similarity 0.8 share a shingle
-among the first n - ceil(0.8 n) + 1 of each, in any order that is the same for all sets; so the
-sets that meet under such a shingle are all candidates there are. The order puts shingles that a
-bounded sample finds common last, which only makes candidates fewer. A candidate is let off
-if more shingles stand ahead of the first common one than the sets may differ in, or if the parities of 2,048 shingle classes differ in more places than the sets may; what is left is
-verified on the whole sets.
+Each distinct set of shingles is a node. Candidates come from two indexes, and every one of them is
+verified on the whole sets:
 
-Sets that meet under one shingle are first compared with a few of them, which joins the members of
-a large group; then every pair that is not in one component yet is compared.
+* SimHash fingerprints of the sets, linked by multi-index hashing (simhash.links). Three bits of 64
+  are far less than sets of similarity 0.8 may differ in (some ten), so this finds close copies alone;
+* min-wise bands: BANDS keys of ROWS minimal shingles each. Two sets share a key with probability
+  1 - (1 - s ** ROWS) ** BANDS, where s is their similarity: at 0.8 a pair is missed once in
+  eight million, above that more rarely still.
+
+Sets that meet under a key are first compared with its hub alone, the same node under most keys
+of a group, which joins the members of a large group at a cost linear in the entries. Then, under the
+keys whose sets are not in one component yet, with second hubs; then all pairs across components.
 """
 
 from __future__ import annotations
@@ -20,19 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
+from . import simhash
 from .components import components
-from .simhash import _LOWER
 
 WORDS = 5
 #: Similarity as a fraction: OVER / UNDER.
 OVER, UNDER = 4, 5
-#: Documents whose shingles are counted for the order, and shingles the order knows as common.
-SAMPLE, COMMON = 10_000, 50_000
-#: Rows of a list of shingles or documents up to which it is broadcast; beyond, it shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Orders by which a shingle's hub is chosen.
-HUBS = 32
-_CLASSES = 2048
+#: Keys of a set, and minimal shingles that each is made of.
+BANDS, ROWS = 40, 5
+#: Rows of a list of keys or documents up to which it is broadcast; beyond, it shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,19 +41,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _ranks(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Zero for shingles not in common, which is ordered from the rarest; else place + 1."""
-    if not len(common):
-        return np.zeros(len(hashes), np.int64)
-    order = np.argsort(common)
-    at = np.minimum(np.searchsorted(common[order], hashes), len(common) - 1)
-    return np.where(common[order][at] == hashes, order[at] + 1, 0)
+#: One order of all shingles for each place of each band.
+_ORDERS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingles(offsets: np.ndarray, data: np.ndarray, common: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the distinct shingles, by row and order; a text of fewer words is one shingle."""
+def shingles(offsets: np.ndarray, data: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the distinct shingles, by row; a text of fewer words is one shingle."""
     n = len(offsets) - 1
-    low = _LOWER[data]
+    low = simhash._LOWER[data]
     s, e, rows, inside = K.words(offsets, low)
     count = K.per_row(rows, n)
     codes, known = K.encode_words(low, inside, s, e) if len(s) else (np.zeros(0, np.int64), pa.array([], pa.binary()))
@@ -65,13 +60,26 @@ def shingles(offsets: np.ndarray, data: np.ndarray, common: np.ndarray, width: i
     h = np.full(len(first), width, np.uint64)
     for i in range(width):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + np.where(first + i < ends, word[np.minimum(first + i, len(word) - 1)], np.uint64(i)))
-    order = np.lexsort((h, _ranks(h, common), row))
+    order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[new], h[new]
 
 
+def bands(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The keys of n sets, n x BANDS; every set has a shingle."""
+    starts = np.searchsorted(rows, np.arange(n))
+    out = np.zeros((n, BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(n, b, np.uint64)
+        for order in _ORDERS[b * ROWS : (b + 1) * ROWS]:
+            x = (h ^ (order >> np.uint64(7))) * order
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts))
+        out[:, b] = key
+    return out
+
+
 def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(K.per_row(rows, n))]), pa.int32()), pa.array(values.view(np.int64)))
 
@@ -80,105 +88,112 @@ def _digests(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.add.reduceat(_mix(h + np.uint64(1)), np.searchsorted(rows, np.arange(n))).view(np.int64)
 
 
-def _described(df: DataFrame, keep: list[str], common: np.ndarray) -> DataFrame:
-    """Adds fp (digest of the set), n (its size), parity and prefix."""
+def _described(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Adds fp (digest of the set), n (its size), sim (its SimHash fingerprint) and bands."""
 
     def kernel(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
         m = len(offsets) - 1
-        rows, h = shingles(offsets, data, common)
+        rows, h = shingles(offsets, data)
         n = K.per_row(rows, m)
-        place = np.arange(len(h)) - (np.cumsum(n) - n)[rows]
-        ahead = place < (n - -(-OVER * n // UNDER) + 1)[rows]
-        classes = (_mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(_CLASSES - 1)).astype(np.int64)
-        odd = (np.bincount(rows * _CLASSES + classes, minlength=m * _CLASSES) & 1).astype(np.uint8).reshape(m, _CLASSES)
-        parity = np.packbits(odd, axis=1).view(np.uint64)
+        keys = bands(rows, h, m)
         return {
             "fp": pa.array(_digests(rows, h, m)),
             "n": pa.array(n),
-            "parity": _lists(np.repeat(np.arange(m), parity.shape[1]), parity.ravel(), m),
-            "prefix": _lists(rows[ahead], h[ahead], m),
+            "sim": pa.array(simhash.majority(rows, h, m, n).view(np.int64)),
+            "bands": _lists(np.repeat(np.arange(m), BANDS), keys.ravel(), m),
         }
 
-    return K.map_text(K.cast_text(df, keep), kernel, "fp long, n long, parity array<long>, prefix array<long>", keep)
+    return K.map_text(K.cast_text(df, keep), kernel, "fp long, n long, sim long, bands array<long>", keep)
 
 
 def _sets(df: DataFrame) -> DataFrame:
     """(fp, set) of each text."""
-    none = np.zeros(0, np.uint64)
 
     def kernel(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
         m = len(offsets) - 1
-        rows, h = shingles(offsets, data, none)
+        rows, h = shingles(offsets, data)
         return {"fp": pa.array(_digests(rows, h, m)), "set": _lists(rows, h, m)}
 
     return K.map_text(K.cast_text(df, []), kernel, "fp long, set array<long>", [])
 
 
-def common_shingles(df: DataFrame, key: str) -> np.ndarray:
-    """Shingles of at least three sampled sets, from the rarest; they only steer the order."""
-    share = max(1, -(-df.count() // SAMPLE))
-    some = _sets(df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)).dropDuplicates(["fp"])
-    counted = some.select(F.explode("set").alias("h")).groupBy("h").count().where("count > 2")
-    top = counted.orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
-
-
 def _some(df: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose `on` stands in the stored table few; a short one is broadcast, by its rows."""
     return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, "left_semi")
 
 
-def _may(ia: Column, na: Column, ib: Column, nb: Column) -> Column:
-    """Whether sizes and places allow the similarity, if this is the first shingle that both sets have.
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    What stands ahead of the first common shingle is in one set alone; a pair that is let off under
-    a later one is still met under its first.
-    """
-    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & ((OVER + UNDER) * (ia + ib) <= (UNDER - OVER) * (na + nb))
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return UNDER * F.least(a, b) >= OVER * F.greatest(a, b)
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose similarity is at least OVER / UNDER."""
-    a = nodes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    b = nodes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    total = F.col("na") + F.col("nb")
-    likely = pairs.join(a, "a").join(b, "b").where((OVER + UNDER) * apart <= (UNDER - OVER) * total)
-    likely = K.stored(likely.select("a", "b", total.alias("total")))
-    asked = K.stored(nodes.join(likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select(F.col("least").alias(key)))
-    sets = K.stored(_sets(_some(df, asked, key)))  # a repeated row has its set twice
-    met = likely.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
-    return K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b").distinct())
+    """Those of the stored pairs (a, b, total) of nodes whose similarity is at least OVER / UNDER, verified on whole sets."""
+    asked = K.stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select(F.col("least").alias(key)))
+    sets = K.stored(_sets(_some(df, asked, key)).dropDuplicates(["fp"]))  # a repeated row has its set twice
+    met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
+    found = K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b"))
+    K.discard(asked, sets)
+    return found
+
+
+def _close(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, total) by SimHash: nodes of equal fingerprints with the first of them, and first ones within simhash.BITS bits."""
+    first = K.stored(nodes.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("hub")))
+    same = nodes.join(first, "sim").where(F.col("fp") != F.col("hub.fp")).select("fp", "n", "hub")
+    near = simhash.links(first.select(F.col("sim").alias("fp")))
+    a, b = first.select(F.col("sim").alias("a"), F.col("hub").alias("ha")), first.select(F.col("sim").alias("b"), F.col("hub").alias("hub"))
+    near = near.join(a, "a").join(b, "b").select(F.col("ha.fp").alias("fp"), F.col("ha.n").alias("n"), "hub")
+    return _fitting(same.unionByName(near))
+
+
+def _fitting(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, total) of nodes beside hubs whose sizes allow the similarity."""
+    return met.where(_sizes_fit("n", "hub.n")).select(*_pair("fp", "hub.fp"), (F.col("n") + F.col("hub.n")).alias("total"))
 
 
 def near_duplicates(df: DataFrame, key: str) -> DataFrame:
     """key and component_id (the least key of all texts that links reach) of each row of df (key, text).
 
-    Texts without words are alike. Repeated rows stay.
+    Texts without words are alike. Repeated rows stay. An empty table gives no rows.
     """
     df = df.select(key, "text")
-    docs = K.stored(_described(df, [key], common_shingles(df, key)))
-    nodes = K.stored(docs.groupBy("fp").agg(F.min(key).alias("least"), F.max("n").alias("n"), F.max("parity").alias("parity")))
-    entry = docs.select(F.posexplode("prefix").alias("place", "shingle"), "fp", "n")
-    shared = K.stored(entry.groupBy("shingle").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("shingle"))
-    entry = K.stored(_some(entry, shared, "shingle").distinct())
-    # the hub has the fewest shingles of its own ahead of the shared one, so it is the likest to the others
-    first = F.struct("place", F.xxhash64("fp", F.pmod("shingle", F.lit(HUBS))))
-    hubs = entry.groupBy("shingle").agg(F.min_by(F.struct("fp", "place", "n"), first).alias("hub"))
-    met = entry.join(hubs, "shingle").where((F.col("fp") != F.col("hub.fp")) & _may(F.col("place"), F.col("n"), F.col("hub.place"), F.col("hub.n")))
-    stars = K.stored(met.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct())
-    found = _links(stars, nodes, df, key)
-    # what the hubs have not joined: all pairs under a shingle, but those within a component
-    parts = K.stored(components(found, "a", "b"))
-    placed = entry.join(parts, entry["fp"] == parts["node"], "left").select("shingle", "fp", "n", "place", F.coalesce("root", "fp").alias("part"))
-    open_ = K.stored(placed.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("shingle"))
-    placed = K.stored(_some(placed, open_, "shingle"))
-    a = placed.select("shingle", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("part").alias("pa"))
-    b = placed.select("shingle", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("part").alias("pb"))
-    rest = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _may(F.col("ia"), F.col("na"), F.col("ib"), F.col("nb"))).select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    parts = components(found.unionByName(_links(rest, nodes, df, key)), "a", "b")
+    docs = K.stored(_described(df, [key]))
+    nodes = K.stored(docs.groupBy("fp").agg(F.min(key).alias("least"), F.max("n").alias("n"), F.max("sim").alias("sim"), F.max("bands").alias("bands")))
+    entry = nodes.select(F.explode("bands").alias("band"), "fp", "n")
+    shared = K.stored(entry.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("hi")).where("hub.fp <> hi").select("band", "hub"))
+    short = shared.count() <= BROADCAST_ROWS
+    entry = K.stored(entry.join(F.broadcast(shared) if short else shared, "band"))
+    asked = K.stored(_fitting(entry.where("fp <> hub.fp")).unionByName(_close(nodes)).distinct())
+    found, settled = _links(asked, nodes, df, key), [asked]
+    # what the hubs have not joined: the nodes farthest from them as second hubs, then all pairs
+    for last in (False, True):
+        parts = K.stored(components(found, "a", "b"))
+        placed = entry.join(parts, entry["fp"] == parts["node"], "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("part"))
+        open_ = K.stored(placed.groupBy("band").agg(F.min(F.struct("part", "fp", "n")).alias("lo"), F.max(F.struct("part", "fp", "n")).alias("hub")).where("lo.part <> hub.part").select("band", "hub"))
+        placed = K.stored(placed.join(F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_, "band"))
+        if last:
+            a = placed.select("band", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+            b = placed.select("band", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+            met = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("total"))
+        else:
+            met = _fitting(placed.where(F.col("part") != F.col("hub.part")))
+        met = met.distinct()
+        for old in settled:
+            met = met.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        met = K.stored(met)
+        more = _links(met, nodes, df, key)
+        found = K.stored(found.unionByName(more))
+        settled.append(met)
+        K.discard(parts, open_, placed, more)
+    parts = components(found, "a", "b")
     parts = K.stored(nodes.join(parts, nodes["fp"] == parts["node"]).select("fp", "root", "least"))
     roots = parts.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = parts.join(roots, "root").select("fp", "component_id")
     alone = nodes.join(parts.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return docs.select(key, "fp").join(linked.unionByName(alone), "fp").select(key, "component_id")
+    out = K.stored(docs.select(key, "fp").join(linked.unionByName(alone), "fp").select(key, "component_id"))
+    K.discard(docs, nodes, entry, shared, found, parts, *settled)
+    return out

@@ -54,16 +54,21 @@ def fingerprints(offsets: np.ndarray, data: np.ndarray, width: int = WORDS, seed
     a = K.ragged(first, windows)
     row = np.repeat(np.arange(n), windows)
     b = np.minimum(a + width - 1, (first + count - 1)[row])
-    total = np.zeros((n, 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(a), _CHUNK):
+    h = np.fromiter((digest(raw[i:j], seed) for i, j in zip(start[a].tolist(), end[b].tolist())), np.uint64, len(a))
+    return majority(row, h, n, windows)
+
+
+def majority(rows: np.ndarray, h: np.ndarray, n: int, count: np.ndarray) -> np.ndarray:
+    """A bit for each place of the hashes of a row: whether over half of the row's count have it set. Rows ascend."""
+    total = np.zeros((n, 64), np.int64)
+    for at in range(0, len(h), _CHUNK):
         part = slice(at, at + _CHUNK)
-        h = np.array([digest(raw[i:j], seed) for i, j in zip(start[a[part]].tolist(), end[b[part]].tolist())], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        r = row[part]
+        bits = np.unpackbits(np.ascontiguousarray(h[part]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        r = rows[part]
         head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
         total[r[head]] += np.add.reduceat(bits, head, axis=0, dtype=np.int32)
-    most = (2 * total > windows[:, None]).astype(np.uint8)
+    most = (2 * total > count[:, None]).astype(np.uint8)
     return np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -160,4 +165,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", bits: int = BITS, hot_en
 
 
 def judge(df: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document.
+
+    Null texts and texts without words have fingerprint zero. Repeated rows stay and share a component;
+    a null doc_id is in a component like any other, but is its least only if all its ids are null. An
+    empty table gives no rows.
+    """
     return near_duplicates(df).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
