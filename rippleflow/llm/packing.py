@@ -29,7 +29,7 @@ from . import _kernel as K
 from .bpe import load
 
 #: Rows of (task, length) offsets, 24 bytes each, up to which they are broadcast; beyond, both sides shuffle.
-BROADCAST_OFFSETS = 1_000_000
+BROADCAST_OFFSETS = 250_000
 #: Lengths that stand for all in the enumeration of deeper combinations.
 FREQUENT = 96
 _PIECES = "start long, length long, crc long, doc_tokens long, ids binary, part long, rank long"

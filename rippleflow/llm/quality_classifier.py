@@ -81,10 +81,11 @@ class Regression:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Regression:
-    """The regression of at most limit labelled documents of the training folds, spread by hash."""
+    """The regression of at most limit labelled documents of the training folds, spread by hash; one row for each doc_id."""
     one = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y")).where("_id is not null and y in (0, 1)")
     one = one.where(K.fold(F.col("_id")) != 1).groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    train = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("_id")).select("text", "y")  # at most `limit` rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(one), F.col("doc_id") == F.col("_id"))  # at most `limit` ids
+    train = K.one_each(rows.select("doc_id", "text", "y"), "doc_id").select("text", "y")
 
     def kernel(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
         return {"x": pa.array(list(features(offsets, data)), pa.list_(pa.float64()))}
@@ -160,7 +161,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """doc_id, host, path, held_out, evidence, host_posterior, path_posterior, score, predicted, kept.
 
     A null host or path is a site of its own. Null and empty texts are judged by their (zero)
-    features. Repeated rows count as often as they stand.
+    features. Repeated rows count as often as they stand. A null doc_id is in fold 0. Of labels that
+    contradict each other, 1 holds. An empty table gives no rows.
     """
     model = fit(docs, labels, limit)
     named = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))

@@ -1,4 +1,8 @@
-"""The operators' registered queries: each applies its operator to its whole table."""
+"""The operators' registered queries: each applies its operator to its whole table.
+
+What they return for null, empty and repeated rows and for empty tables is said where the operators
+are defined; columns that the queries do not name have no part in the result.
+"""
 
 from __future__ import annotations
 
@@ -75,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_url_cascade": url_filter.ORACLE,
+    "op6_rule_cascade": quality_rules.ORACLE,
 }

@@ -34,8 +34,6 @@ RULES: list[Rule] = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: A cascade larger than this is not shipped with the tasks; listed keys then need finer sharding.
-MAX_BITS = 1 << 30
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -130,20 +128,18 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
 def build(universe: DataFrame, listed: list[str], unlisted_count: int) -> Cascade:
     """The cascade of the listed keys over a universe of distinct keys (column key).
 
-    The first level's rate is about listed / unlisted, so that as many keys stay in doubt as are
-    listed; later levels halve. What comes to the driver is the keys of one level, bounded by the list.
+    The first level's rate is listed / unlisted, so that about as many keys stay in doubt as are
+    listed, however large the universe; later levels halve. What comes to the driver is the keys of
+    one level: as many as the caller's list, which is there already.
     """
     own = sorted(set(listed))
     cascade, known = Cascade(), frozenset(own)
     if not own:
         return cascade
-    rate = min(0.5, max(1e-6, len(own) / max(1, unlisted_count)))
+    rate = min(0.5, len(own) / max(1, unlisted_count))
     level = Level.of(own, rate, 1)
     cascade.levels.append(level)
     doubt = K.stored(_passing(universe, level).where(~F.col("key").isin(*own)) if len(own) <= 1000 else _passing(universe, level).join(universe.sparkSession.createDataFrame([(k,) for k in own], "key string"), "key", "left_anti"))
-    n = doubt.count()
-    if n * 3 > MAX_BITS:
-        raise ValueError(f"{n} false positives do not fit a shipped level")
     wrong = [r["key"] for r in doubt.collect()]  # about as many as are listed
     inside, outside = own, wrong
     while outside:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from rippleflow.llm import _kernel as K
 from rippleflow.llm import near_copies
 
 
@@ -58,9 +59,23 @@ def test_components_are_those_of_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near.collect()} == dict(enumerate(brute(texts)))
 
 
-def test_any_order_of_shingles_gives_the_same_sets():
+def test_keys_are_met_as_often_as_they_should():
+    """Sets of similarity s share a band with probability s ** ROWS."""
+    r = np.random.default_rng(3)
+    for s in (0.5, 0.8):
+        n, met = 200, 0.0
+        for _ in range(60):
+            both = round(2 * n * s / (1 + s))
+            own = r.integers(0, 1 << 62, 2 * n - both, dtype=np.int64).astype(np.uint64)
+            a, b = own[:n], np.concatenate([own[:both], own[n:]])
+            rows = np.repeat([0, 1], n)
+            k = near_copies.bands(rows, near_copies._mix(np.concatenate([a, b])), 2)
+            met += (k[0] == k[1]).mean() / 60
+        assert abs(met - s**near_copies.ROWS) < 0.03
+    assert (1 - 0.8**near_copies.ROWS) ** near_copies.BANDS < 2e-7
+
+
+def test_shingles_are_distinct_and_empty_texts_have_one():
     data = np.frombuffer(b"a b c d e f g a b c d e", np.uint8)
-    rows, h = near_copies.shingles(np.array([0, len(data)]), data, np.zeros(0, np.uint64))
-    assert len(h) == 7 and not rows.any()
-    _, late = near_copies.shingles(np.array([0, len(data)]), data, h[[2, 0]])
-    assert sorted(late) == sorted(h) and list(late[-2:]) == [h[2], h[0]]
+    rows, h = near_copies.shingles(np.array([0, len(data), len(data)]), data)
+    assert K.per_row(rows, 2).tolist() == [7, 1] and len(set(h.tolist())) == 8

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,7 +48,9 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(docs + odd, SCHEMA).repartition(3).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, q, t) for i, _, q, t in rows] + [(None, 1, 1), (999, None, None), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     html = "<html><body><nav><ul><li><a href='/x'>Menu</a></li><li><a href='/y'>More</a></li></ul></nav><article><h1>Title words</h1><p>" + words(1, 60) + "</p></article><footer>&copy; x</footer></body></html>"
-    spark.createDataFrame([(1, "https://www.example.com/en/a", html), (2, None, None), (3, "http://a.net/fr/", ""), (3, "http://a.net/fr/", ""), (None, "x", "<p>" + words(2, 50))], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    pages = [(1, "https://www.example.com/en/a", html), (2, None, None), (3, "http://a.net/fr/", ""), (3, "http://a.net/fr/", ""), (None, "x", "<p>" + words(2, 50))]
+    clash = "text string, n_chars long, host string, path string, rule string, verdict string, _html string, _url string"
+    spark.createDataFrame([(*p, "t", 1, "h", "p", "r", "v", "h", "u") for p in pages], f"page_id long, url string, html string, {clash}").write.parquet(f"{root}/pages.parquet")
     return str(root)
 
 
@@ -109,8 +114,8 @@ def test_bpe(spark, tables):
     for i, t in docs_of(spark, tables):
         r, ids = got[i, hashlib.sha256(t.encode()).hexdigest()], library.encode(t, add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-    long = bpe.encode_decode(spark.read.parquet(f"{tables}/documents.parquet").where("doc_id = 301"), vocabulary_path(), ["doc_id"], long_bytes=1000).first()
-    assert long.ids_sha256 == got[301, long.decoded_sha256]["ids_sha256"]  # by the stream, in constant memory
+    long = bpe.encode_decode(spark.read.parquet(f"{tables}/documents.parquet").where("doc_id = 301"), vocabulary_path(), ["doc_id"], step=1000).first()
+    assert long.ids_sha256 == got[301, long.decoded_sha256]["ids_sha256"]  # in rounds of another size
 
 
 def covers(rows, docs):
@@ -221,6 +226,49 @@ def test_syncmers(spark, tables):
     by = {r["doc_id"]: r for r in got}
     assert by[1]["fingerprint"] == by[200]["fingerprint"] != by[2]["fingerprint"] and by[400]["fingerprint"] == ""
     assert 0.2 < by[5]["near_edited"] < 0.5 and by[5]["near_next"] < 0.05 and by[201]["near_next"] == 1.0
+    rows = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_chars"]))
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        whole, edited, following = (marked(x) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after))
+        r = rows[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == ("".join(f"{x:08x}" for x in whole), "".join(f"{x:08x}" for x in edited)), i
+        for name, other in (("near_edited", edited), ("near_next", following)):
+            a, b = {x & ~3 for x in whole}, {x & ~3 for x in other}
+            assert r[name] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def hashed(*parts):
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<Q", x), seed)
+    return seed
+
+
+def marked(text):
+    """The fingerprint by the definition, run by run."""
+    units = [u for w in re.findall(r"[^\x20\x09-\x0D]+", text) for u in (w if len(w) > syncmers.LONG_WORD else [w])]
+    w = [hashed(u) for u in units]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    if len(w) < 5:
+        return [hashed(" ".join(str(signed(x)) for x in w)) >> 32 & 0xFFFFFFFC | 1] if w else []
+    out, last = [], -1
+    for i in range(len(w) - 4):
+        inner = [hashed(w[j], w[j + 1]) for j in range(i, i + 4)]
+        least = min(map(signed, inner))
+        if least in (signed(inner[0]), signed(inner[3])):
+            assert 1 <= i - last <= 3
+            out.append(hashed(inner[0], inner[2], w[i + 4]) >> 32 & 0xFFFFFFFC | i - last)
+            last = i
+    return out
+
+
+def test_fingerprints_do_not_jump(spark):
+    """A word more changes a few anchors, wherever the words' mean length stands; long texts share what they share."""
+    long, core = "x" * 41 + " " + words(3, 40), words(9, 60)
+    texts = [long, long + " y", words(4, 6000) + " " + core + " " + words(5, 6000), words(6, 6000) + " " + core + " " + words(7, 6000), "漢字仮名交じり文" * 20, "漢字仮名交じり文" * 19 + " z"]
+    df = syncmers.fingerprint(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", "fp")
+    fp = {r.id: {x & ~3 for x in r.fp} for r in df.collect()}
+    assert len(fp[0] & fp[1]) >= len(fp[0]) - 2 and len(fp[2] & fp[3]) > 15 and len(fp[4] & fp[5]) > 0
 
 
 def test_anchors_do_not_depend_on_context(spark):
@@ -231,7 +279,7 @@ def test_anchors_do_not_depend_on_context(spark):
         rows.setdefault(r.doc_id, []).append((r.place, r.anchor))
     assert {(p + 30, a) for p, a in rows[1]} <= set(rows[2]) and 3 not in rows
     inner = len(rows[1]) / 56
-    assert 0.3 < inner < 0.75
+    assert 0.3 < inner < 0.75 and len(rows[4]) > 0
 
 
 def test_quality(spark, tables):
@@ -241,6 +289,45 @@ def test_quality(spark, tables):
     assert all(0 <= got[i]["score"] <= 1 for i in (400, 401, 402, None)) and all(r["kept"] for i, r in got.items() if i is not None and i < 160 and r["predicted"])
 
 
+def test_posteriors_against_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, h, p, min(max(r.gauss(0.3 + 0.1 * "abcde".index(h) + (0.2 if p == "x" else 0), 0.15), 0.01), 0.99)) for i in range(400) for h, p in [(r.choice("aabcde"), r.choice("xyz"))]] + [(400, None, "x", 0.5), (401, "f", None, 0.9)]
+    got = {x.id: x for x in quality_classifier.shrink(spark.createDataFrame(rows, "id long, host string, path string, evidence double"), "host", "path").collect()}
+    mean = sum(e for *_, e in rows) / len(rows)
+
+    def weight(groups, prior):
+        """Method of moments: groups {key: values}, prior by key."""
+        n = {k: len(v) for k, v in groups.items()}
+        spread = sum(n[k] * (sum(v) / n[k] - prior(k)) ** 2 for k, v in groups.items()) - sum(prior(k) * (1 - prior(k)) for k in groups)
+        between = spread / max(sum(n.values()) - sum(x * x for x in n.values()) / sum(n.values()), 1e-9)
+        return between
+
+    hosts, sites = {}, {}
+    for _, h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        sites.setdefault((h, p), []).append(e)
+    b = weight(hosts, lambda k: mean)
+    k = min(max(mean * (1 - mean) / b - 1, 1.0), 1e6) if b > 1e-9 else 1e6
+    for i, h, p, e in rows:
+        host = (sum(hosts[h]) - e + k * mean) / (len(hosts[h]) - 1 + k)
+        assert got[i].host_posterior == pytest.approx(host)
+    # the paths' weight is one number for all: it follows from any document, and explains all others
+    ks = {round((sum(sites[h, p]) - e - got[i].path_posterior * (len(sites[h, p]) - 1)) / (got[i].path_posterior - got[i].host_posterior), 4) for i, h, p, e in rows if abs(got[i].path_posterior - got[i].host_posterior) > 1e-3}
+    assert max(ks) - min(ks) < 1e-2 * max(ks) and min(ks) >= 1
+    logit = lambda x: np.log(x / (1 - x))
+    for i, h, p, e in rows:
+        z = logit(e) - logit(mean) + logit(got[i].path_posterior)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+
+
+def test_samples_are_bounded_and_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i % 7, f"t{i}") for i in range(70)], "doc_id long, text string")
+    from rippleflow.llm import _kernel as K
+
+    one = sorted(r.text for r in K.sampled(df, "doc_id", 5).collect())
+    assert len(one) == 5 and one == sorted(r.text for r in K.sampled(df.repartition(6), "doc_id", 5).collect())
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 0.1)] * 300 + [("good", "p", 0.95)] * 300 + [("tiny", "p", 0.1)] + [("mid", f"q{i}", 0.9 if i % 2 else 0.2) for i in range(60)]
     out = quality_classifier.shrink(spark.createDataFrame(rows, "host string, path string, evidence double"), "host", "path").groupBy("host").agg(F.avg("host_posterior").alias("p")).collect()
