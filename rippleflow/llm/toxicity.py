@@ -57,6 +57,8 @@ LEET_COST, WILD_COST, LEET_DROP, SEPARATOR_DROP, SEPARATOR_BORDER = -0.7, -3.5,
 GAP_CLOSES, GAP_STAYS, RUN_DROP, PAIR_DROP = -0.2, -2.5, -0.2, -7.0
 #: The least number of toxic rows that a feature must explain.
 LEAST_ROWS = 3
+#: The least log odds of a feature that rows are told apart by.
+LEAN = 2.0
 #: The least precision of a feature that tells toxic texts, and the chance that any feature gets there by luck.
 PRECISION, LUCK = 0.94, 0.05
 
@@ -470,11 +472,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
         return model
     counts = K.stored(_feature_counts(train, lm).where(F.col("bad") >= LEAST_ROWS))
     tests = counts.count()
-    share = F.lit(min(0.5, bad / n))
-    p = F.col("bad") / (F.col("bad") + F.col("good"))
-    gain = F.col("bad") * F.log(p / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - share))).otherwise(0.0)
-    told = counts.where((p > share) & (gain >= F.log(F.lit(max(1, tests) / LUCK))))
-    names = [r["name"] for r in told.select("name").orderBy("name").collect()]  # words that at least so many of the sampled rows have
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (n - bad + 1))
+    # words that at least so many of the sampled toxic rows have, and that lean their way; what is evident, choose() tells
+    names = [r["name"] for r in counts.where(odds >= LEAN).select("name").orderBy("name").collect()]
     if not names:
         return model
     rows = [(r["y"], tuple(r["ids"])) for r in _active(train, lm, {x: i for i, x in enumerate(names)}).collect()]  # at most `limit` rows

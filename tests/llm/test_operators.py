@@ -291,7 +291,7 @@ def test_quality(spark, tables):
 
 def test_posteriors_against_brute_force(spark):
     r = random.Random(3)
-    rows = [(i, h, p, min(max(r.gauss(0.3 + 0.1 * "abcde".index(h) + (0.2 if p == "x" else 0), 0.15), 0.01), 0.99)) for i in range(400) for h, p in [(r.choice("aabcde"), r.choice("xyz"))]] + [(400, None, "x", 0.5), (401, "f", None, 0.9)]
+    rows = [(i, h, p, min(max(r.gauss(0.2 + 0.05 * "abcde".index(h) + (0.5 if p == "x" else 0), 0.1), 0.01), 0.99)) for i in range(400) for h, p in [(r.choice("aabcde"), r.choice("xyz"))]] + [(400, None, "x", 0.5), (401, "f", None, 0.9)]
     got = {x.id: x for x in quality_classifier.shrink(spark.createDataFrame(rows, "id long, host string, path string, evidence double"), "host", "path").collect()}
     mean = sum(e for *_, e in rows) / len(rows)
 
