@@ -33,6 +33,10 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     cuts = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, n_bins)[1:-1])) for i in range(width)]
     model = Trees(cuts, np.zeros((0, 0, 2), np.int64), np.zeros((0, 0)), float(np.log((y.sum() + 1) / (n - y.sum() + 1))), depth)
     b = model.bins(x).astype(np.int64)
+    top_bin = b.max(axis=0) if n else np.zeros(width, np.int64)
+    # features of two bins are summed by one matrix product, the others bin by bin
+    two, many = np.flatnonzero(top_bin == 1), np.flatnonzero(top_bin > 1)
+    upper = (b[:, two] == 1).astype(np.float64)
     z = np.full(n, model.bias)
     all_tests, all_leaves = [], []
     for _ in range(trees):
@@ -45,17 +49,27 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             first, count = 2**level - 1, 2**level
             node = at - first
             best, choice = np.full(count, 1e-9), np.tile([0, n_bins], (count, 1))
-            for f in range(width):
-                key = node * n_bins + b[:, f]
-                gs = np.bincount(key, weights=g, minlength=count * n_bins).reshape(count, n_bins).cumsum(axis=1)
-                hs = np.bincount(key, weights=h, minlength=count * n_bins).reshape(count, n_bins).cumsum(axis=1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
+            gt, ht = np.bincount(node, weights=g, minlength=count)[:, None], np.bincount(node, weights=h, minlength=count)[:, None]
+
+            def take(f: np.ndarray | int, at: np.ndarray, gs: np.ndarray, hs: np.ndarray) -> None:
+                """Node by node, the best of some splits: features f, bins at, sums of what stays left."""
                 gain = gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt**2 / (ht + ridge)
                 top = gain.argmax(axis=1)
                 won = gain[np.arange(count), top]
                 better = won > best
-                best = np.where(better, won, best)
-                choice[better] = np.stack([np.full(count, f), top], axis=1)[better]
+                best[better] = won[better]
+                choice[better] = np.stack([np.broadcast_to(f, gain.shape[1:])[top], np.broadcast_to(at, gain.shape[1:])[top]], axis=1)[better]
+
+            if len(two):
+                weights = np.zeros((n, 2 * count))
+                weights[np.arange(n), node], weights[np.arange(n), count + node] = g, h
+                sums = (upper.T @ weights).T
+                take(two, 0, gt - sums[:count], ht - sums[count:])
+            for f in many.tolist():
+                key = node * n_bins + b[:, f]
+                gs = np.bincount(key, weights=g, minlength=count * n_bins).reshape(count, n_bins).cumsum(axis=1)
+                hs = np.bincount(key, weights=h, minlength=count * n_bins).reshape(count, n_bins).cumsum(axis=1)
+                take(f, np.arange(n_bins), gs, hs)
             tests[first : first + count] = choice
             test = choice[node]
             at = 2 * at + 1 + (b[np.arange(n), test[:, 0]] > test[:, 1])
