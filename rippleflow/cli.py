@@ -1,23 +1,32 @@
 """Command line: snapshot facts into a manifest, analyse a change, print filters.
 
 The commands read a build's facts (Parquet folders named as in schemas, below one directory) and
-its file listing; decoding binaries into facts is not part of this package.
+its file listing; decoding binaries into facts is not part of this package. Three fact tables may
+be missing: modules (framework names and version ids; without them neither a build's framework nor
+its cache keys are known), bodies (locals and exception regions) and sequence_points.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
+from collections.abc import Callable
+from dataclasses import fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions.scalars import scope_text
-from .operators import canon, emit, rules
+from .operators import canon, diff, emit, rules
 from .plans import analyze as A
-from .sources import changes, listing, manifest, pe, solution
+from .sources import cache, changes, listing, manifest, pe, solution
+from .storage import stored
 
+OPTIONAL = {"modules": schemas.MODULE_FACT, "bodies": schemas.BODY_FACT}
 FACTS = ("types", "members", "instructions", "attributes", "attribute_bases", "interfaces", "overrides", "fields", "references")
 
 
@@ -29,15 +38,19 @@ def parser() -> argparse.ArgumentParser:
         source = s.add_mutually_exclusive_group()
         source.add_argument("--solution")
         source.add_argument("--project")
-        s.add_argument("--input", action="append", default=[], help="build output directory")
+        s.add_argument("--input", "--current", action="append", default=[], help="build output directory")
         s.add_argument("--facts", required=True, help="directory of fact tables")
         s.add_argument("--include", action="append", default=[])
         s.add_argument("--exclude", action="append", default=[])
         s.add_argument("-c", "--configuration", default="Release")
         s.add_argument("-f", "--framework", help="target framework of the build")
     sub.choices["snapshot"].add_argument("-o", "--output", required=True)
+    sub.choices["snapshot"].add_argument("--previous", help="manifest whose unchanged assemblies need no hashing")
     a = sub.choices["analyze"]
     a.add_argument("--manifest")
+    a.add_argument("--baseline", action="append", default=[], help="build output directory to compare with, in place of a manifest")
+    a.add_argument("--baseline-facts", help="directory of that build's fact tables")
+    a.add_argument("--cache", help="directory that runs share for what follows from a build alone")
     a.add_argument("--changed-files")
     a.add_argument("--format", choices=("json", "filter", "filter-lines", "runsettings"), default="json")
     a.add_argument("--force-full-run-paths", action="append", default=[])
@@ -63,20 +76,59 @@ def inputs(args: argparse.Namespace) -> tuple[list[str], list[str], list[str], l
 
 
 def facts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{name}") for name in FACTS}
-
-
-def snapshot(spark: SparkSession, directories: list[str], include: list[str], exclude: list[str], f: dict[str, DataFrame]) -> A.Snapshot:
-    """The current build: newest copy of each assembly, its content hash, and members' hashes in scope."""
+    out = {name: spark.read.parquet(f"{root}/{name}") for name in FACTS}
+    for name, schema in OPTIONAL.items():
+        try:
+            out[name] = spark.read.parquet(f"{root}/{name}")
+        except AnalysisException:
+            out[name] = spark.createDataFrame([], schema)
+    return out
+
+
+def snapshot(spark: SparkSession, directories: list[str], include: list[str], exclude: list[str], f: dict[str, DataFrame], previous: A.Snapshot | None = None) -> A.Snapshot:
+    """The build of some directories: newest copy of each assembly, its content hash, and the hashes
+    of members and types in scope.
+
+    Where modules are known, a library without one is native and gets no row. Assemblies whose content
+    a previous snapshot has keep its hashes; the others are hashed.
+    """
     files = listing.scoped(listing.with_symbols(listing.scan(spark, directories, "*")), include, exclude)
-    dlls = listing.newest(files.where(F.lower("file").endswith(".dll")))
-    hashed = dlls.join(pe.hashed(dlls), "path").withColumn("name", F.regexp_replace("file", r"\.[^.]*$", ""))
-    one = listing.first_assembly(hashed)
-    assembly = one.select("name", F.lit("").alias("mvid"), "content_hash", F.col("in_scope").alias("methods_analyzed"))
-    names = f["members"].select("fqn", "assembly").distinct()
-    rows = canon.hash_members(*(f[k] for k in ("types", "members", "instructions", "interfaces", "fields", "attributes")))
-    method = rows.join(names, "fqn", "left").join(assembly.where("methods_analyzed").select(F.col("name").alias("assembly")), "assembly", "left_semi").select("assembly", "token", "fqn", "hash")
-    return A.Snapshot("", scope_text(include, exclude), assembly, method, listing.content_files(files))
+    dlls = listing.newest(files.where(F.lower("file").endswith(".dll"))).withColumn("name", F.regexp_replace("file", r"\.[^.]*$", ""))
+    modules = f["modules"]
+    known = bool(modules.limit(1).count())
+    ids = modules.groupBy(F.lower("assembly").alias("_k")).agg(F.min("mvid").alias("mvid"))
+    dlls = dlls.join(ids, F.lower("name") == F.col("_k"), "inner" if known else "left").drop("_k")
+    hashed = dlls.join(pe.hashed(dlls), "path")
+    one = stored(listing.first_assembly(hashed).select("name", F.coalesce("mvid", F.lit("")).alias("mvid"), "content_hash", "in_scope"))
+    assembly = one.select("name", "mvid", "content_hash", F.col("in_scope").alias("methods_analyzed"))
+    carried, left = diff.reuse(one, previous.assembly, previous.method) if previous is not None else (None, one.where("in_scope"))
+    names = left.select(F.lower("name").alias("_k"), F.col("name").alias("_name"))
+    todo = {k: f[k].join(names, F.lower("assembly") == F.col("_k"), "left_semi") for k in ("types", "members", "instructions", "interfaces", "fields", "attributes", "bodies")}
+    rows = canon.hash_members(*(todo[k] for k in ("types", "members", "instructions", "interfaces", "fields", "attributes")), todo["bodies"])
+    method = rows.join(names, F.lower("assembly") == F.col("_k")).select(F.col("_name").alias("assembly"), "token", "fqn", "hash")
+    inside = one.where("in_scope").select(F.lower("name").alias("_k"))
+    tfm = solution.dominant_tfm(modules.where("tfm is not null").join(inside, F.lower("assembly") == F.col("_k"), "left_semi")).first()["tfm"]
+    return A.Snapshot(tfm, scope_text(include, exclude), assembly, stored(method if carried is None else method.unionByName(carried)), listing.content_files(files))
+
+
+def cached_graph(spark: SparkSession, root: str | None, current: A.Snapshot, framework: str, build: Callable[[], A.Graph]) -> A.Graph:
+    """The build's graph from the cache, else built and cached.
+
+    The key holds the scope, the framework and the version id of every assembly in depth; if one of
+    these is not known, or no cache is named, the graph is built.
+    """
+    deep = current.assembly.where("methods_analyzed")
+    if not root or deep.where("coalesce(mvid, '') = ''").limit(1).count():
+        return build()
+    key = cache.whole_key(current.assembly, current.scope, framework).first()["key"]
+    parts = {p.name: cache.load(spark, root, f"{key}-{p.name}") for p in fields(A.Graph)}
+    if all(x is not None for x in parts.values()):
+        return A.Graph(**parts)
+    graph = build()
+    cache.prune(spark, root)
+    for p in fields(A.Graph):
+        cache.save(getattr(graph, p.name), root, f"{key}-{p.name}")
+    return graph
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -85,7 +137,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         directories, include, exclude, warnings = inputs(args)
         f = facts(spark, args.facts)
-        current = snapshot(spark, directories, include, exclude, f)
+        previous = _baseline(spark, args.manifest if args.command == "analyze" else args.previous)
+        current = snapshot(spark, directories, include, exclude, f, previous)
+        if args.command == "analyze" and args.baseline:
+            previous = snapshot(spark, args.baseline, include, exclude, facts(spark, args.baseline_facts or args.facts))
         for w in warnings:
             print(f"warning: {w}", file=sys.stderr)
         if args.command == "snapshot":
@@ -98,7 +153,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(emit.RUN_EVERYTHING)
         print(f"warning: {e}", file=sys.stderr)
         return emit.EXIT_OK
-    return _analyze(spark, args, current, f)
+    return _analyze(spark, args, previous, current, f)
 
 
 def _baseline(spark: SparkSession, path: str | None) -> A.Snapshot | None:
@@ -114,7 +169,22 @@ def _baseline(spark: SparkSession, path: str | None) -> A.Snapshot | None:
         return None
 
 
-def _analyze(spark: SparkSession, args: argparse.Namespace, current: A.Snapshot, f: dict[str, DataFrame]) -> int:
+def _document(result: A.Result, table: DataFrame | None) -> None:
+    """The whole result as one JSON document, written row by row."""
+    head = {"runEverything": result.run_everything, "rule": result.rule, "reason": result.reason, "frontEnd": result.front_end, "warnings": result.warnings}
+    out = sys.stdout
+    out.write(json.dumps(head)[:-1])
+    parts = (("assemblies", result.assemblies, ["name"]), ("changes", result.changes, ["assembly", "fqn"]), ("tests", result.selection, ["assembly", "display_name"]), ("filters", table, ["assembly"]))
+    for name, rows, order in parts:
+        out.write(f', "{name}": [')
+        if rows is not None:
+            for i, r in enumerate(rows.orderBy(*order).select(F.to_json(F.struct("*"))).toLocalIterator()):
+                out.write((", " if i else "") + r[0])
+        out.write("]")
+    out.write("}\n")
+
+
+def _analyze(spark: SparkSession, args: argparse.Namespace, baseline: A.Snapshot | None, current: A.Snapshot, f: dict[str, DataFrame]) -> int:
     changed = None
     if args.changed_files:
         with open(args.changed_files, encoding="utf-8") as lines:
@@ -123,12 +193,13 @@ def _analyze(spark: SparkSession, args: argparse.Namespace, current: A.Snapshot,
 
     def graph() -> A.Graph:
         if not built:
-            built.append(A.graph_of(args.test_framework, f, current.assembly.where("methods_analyzed").select("name")))
+            build = lambda: A.graph_of(args.test_framework, f, current.assembly.where("methods_analyzed").select("name"))
+            built.append(cached_graph(spark, args.cache, current, args.test_framework, build))
         return built[0]
 
     points = f"{args.facts}/sequence_points"
     points = spark.read.parquet(points) if os.path.isdir(points) else None
-    result = A.analyze(spark, _baseline(spark, args.manifest), current, graph, args.test_framework, changed, args.force_full_run_paths or None, points, f["types"], f["members"], args.always_run)
+    result = A.analyze(spark, baseline, current, graph, args.test_framework, changed, args.force_full_run_paths or None, points, f["types"], f["members"], args.always_run)
     table, code = A.report(result, args.test_framework, None, args.max_filter_clauses, args.assembly)
     for w in result.warnings:
         print(f"warning: {w}", file=sys.stderr)
@@ -137,13 +208,10 @@ def _analyze(spark: SparkSession, args: argparse.Namespace, current: A.Snapshot,
         for r in emit.explained(result.selection).orderBy("display_name").toLocalIterator() if result.selection is not None else []:
             print(f"  {r.display_name}\n      why: {r.why}" + (f"\n      via: {r.via}" if r.via else ""))
         return code
-    rows = table.orderBy("assembly").collect() if table is not None else []  # one row for each test assembly
     if args.format == "json":
-        text = F.to_json(F.struct(F.lit(result.run_everything).alias("runEverything"), F.lit(result.reason).alias("reason"), F.lit(result.front_end).alias("frontEnd")))
-        print(spark.range(1).select(text).first()[0])
-        for r in rows:
-            print(spark.createDataFrame([r], table.schema).select(F.to_json(F.struct("*"))).first()[0])
+        _document(result, table)
         return code
+    rows = table.orderBy("assembly").collect() if table is not None else []  # one row for each test assembly
     if result.run_everything:
         print(emit.RUN_EVERYTHING if args.format == "filter-lines" else "")
         return code

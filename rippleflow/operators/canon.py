@@ -76,39 +76,41 @@ def member_texts(members: DataFrame, instructions: DataFrame, attributes: DataFr
 
 def type_texts(types: DataFrame, interfaces: DataFrame, fields: DataFrame, attributes: DataFrame) -> DataFrame:
     """(assembly, type, text) of a type's structure; its methods are no part of it."""
-    face = interfaces.groupBy("type").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("iface|"), F.col("interface"), F.lit("\n")))), "").alias("faces"))
+    own = ["assembly", "type"]
+    face = interfaces.groupBy(*own).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("iface|"), F.col("interface"), F.lit("\n")))), "").alias("faces"))
     const = F.coalesce(F.concat(F.lit("|const:"), F.col("constant")), F.lit(""))
     line = F.concat(F.lit("field|"), F.col("name"), F.lit("|"), F.col("field_type"), F.lit("|fl:"), hex_flags(F.col("flags")), const, F.lit("\n"))
-    field = fields.groupBy("type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), "").alias("fields"))
-    marks = attribute_lines(attributes).where("owner_kind = 'type'").select(F.col("owner").alias("type"), F.col("lines").alias("marks"))
+    field = fields.groupBy(*own).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), "").alias("fields"))
+    marks = attribute_lines(attributes).where("owner_kind = 'type'").select("assembly", F.col("owner").alias("type"), F.col("lines").alias("marks"))
     head = F.concat(F.lit("type|"), F.col("type"), F.lit("|fl:"), hex_flags(F.col("flags")), F.lit("|ga:"), F.col("arity").cast("string"), F.lit("|base:"), F.coalesce(F.nullif("base", F.lit("")), F.lit("-")), F.lit("\n"))
-    out = types.join(face, "type", "left").join(field, "type", "left").join(marks, "type", "left")
+    out = types.join(face, own, "left").join(field, own, "left").join(marks, own, "left")
     text = F.concat(head, *[F.coalesce(c, F.lit("")) for c in ("faces", "fields", "marks")])
     return out.select("assembly", "type", normalize_ordinals(text).alias("text"))
 
 
 def contributions(own: DataFrame, contribs: DataFrame) -> DataFrame:
-    """(fqn, hash, token): own rows (type, name, fqn, text, token) with what generated code adds to them.
+    """(assembly, fqn, hash, token): own rows (assembly, type, name, fqn, text, token) with what generated code adds to them.
 
-    contribs (type, owner, fqn, hash) counts for every member of the owner's name; one whose
+    contribs (assembly, type, owner, fqn, hash) counts for every member of the owner's name; one whose
     owner is not there stands as a row of its own with token 0. Equal names keep all their hashes.
     """
     line = F.concat(F.lit("\ncontrib|"), F.col("fqn"), F.lit("|"), F.col("hash"))
-    added = contribs.groupBy("type", F.col("owner").alias("name")).agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("more"))
-    rows = own.join(added, ["type", "name"], "left").select("fqn", short_hash(F.concat("text", F.coalesce("more", F.lit("")))).alias("hash"), "token")
-    orphans = contribs.join(own.select("type", F.col("name").alias("owner")).distinct(), ["type", "owner"], "left_anti")
-    return rows.unionByName(orphans.groupBy("fqn").agg(F.min("hash").alias("hash")).select("fqn", "hash", F.lit(0).alias("token")))
+    added = contribs.groupBy("assembly", "type", F.col("owner").alias("name")).agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("more"))
+    rows = own.join(added, ["assembly", "type", "name"], "left").select("assembly", "fqn", short_hash(F.concat("text", F.coalesce("more", F.lit("")))).alias("hash"), "token")
+    orphans = contribs.join(own.select("assembly", "type", F.col("name").alias("owner")).distinct(), ["assembly", "type", "owner"], "left_anti")
+    return rows.unionByName(orphans.groupBy("assembly", "fqn").agg(F.min("hash").alias("hash")).select("assembly", "fqn", "hash", F.lit(0).alias("token")))
 
 
 def hash_members(types: DataFrame, members: DataFrame, instructions: DataFrame, interfaces: DataFrame, fields: DataFrame, attributes: DataFrame, extras: DataFrame | None = None) -> DataFrame:
-    """(fqn, hash, token) of a build's members and types, by the rules above."""
+    """(assembly, fqn, hash, token) of a build's members and types, by the rules above."""
     text = member_texts(members, instructions, attributes, extras)
-    m = members.join(text, ["assembly", "fqn"]).join(user_types(types), "type").join(types.select("type", "simple_name"), "type")
+    user = user_types(types)
+    m = members.join(text, ["assembly", "fqn"]).join(user, "type").join(types.select("assembly", "type", "simple_name"), ["assembly", "type"])
     owner = F.coalesce(owner_of_member(F.col("name")), F.when(F.col("type") != F.col("user_type"), owner_of_type(F.col("simple_name"))))
     m = m.withColumn("owner", owner)
     fqn = normalize_ordinals(F.col("fqn"))
-    plain = m.where((F.col("type") == F.col("user_type")) & F.col("owner").isNull()).select("type", "name", fqn.alias("fqn"), "text", "token")
-    shape = type_texts(types.join(user_types(types).where("type = user_type").select("type"), "type", "left_semi"), interfaces, fields, attributes)
-    shaped = shape.select("type", F.lit("::<type>").alias("name"), normalize_ordinals(F.concat("type", F.lit("::<type>"))).alias("fqn"), "text", F.lit(0).alias("token"))
-    parts = m.where("owner is not null").select(F.col("user_type").alias("type"), "owner", fqn.alias("fqn"), short_hash(F.col("text")).alias("hash"))
+    plain = m.where((F.col("type") == F.col("user_type")) & F.col("owner").isNull()).select("assembly", "type", "name", fqn.alias("fqn"), "text", "token")
+    shape = type_texts(types.join(user.where("type = user_type").select("type"), "type", "left_semi"), interfaces, fields, attributes)
+    shaped = shape.select("assembly", "type", F.lit("::<type>").alias("name"), normalize_ordinals(F.concat("type", F.lit("::<type>"))).alias("fqn"), "text", F.lit(0).alias("token"))
+    parts = m.where("owner is not null").select("assembly", F.col("user_type").alias("type"), "owner", fqn.alias("fqn"), short_hash(F.col("text")).alias("hash"))
     return contributions(plain.unionByName(shaped), parts)

@@ -33,7 +33,7 @@ def user_types(types: DataFrame) -> DataFrame:
     own = user.select(F.col("user_type").alias("type"), "user_type")
     generated = types.where(is_generated(F.col("simple_name"))).select("type")
     near = up.join(user, F.col("over") == F.col("user_type")).join(generated, "type", "left_semi").groupBy("type").agg(F.min_by("user_type", "depth").alias("user_type"))
-    return own.unionByName(near)
+    return own.unionByName(near).distinct()
 
 
 def identities(types: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import base_name, normalize_ordinals, owner_of_member, owner_of_type, path_matches
+from ..functions.scalars import base_name, normalize_ordinals, owner_of_member, owner_of_type, path_matches, slashed
 from .graph import user_types
 
 
@@ -15,25 +15,36 @@ def spans(points: DataFrame) -> DataFrame:
     return seen.groupBy("assembly", F.col("method_fqn").alias("fqn"), "document").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
 
 
+def _last_two(path: Column) -> Column:
+    return F.lower(F.substring_index(slashed(path), "/", -2))
+
+
+def fitting(documents: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows of documents (column document) beside rows of paths (column path) that fit them."""
+    deep = F.size(F.split(F.ltrim(slashed(F.col("path")), F.lit("/")), "/")) > 2
+    ends = documents.withColumn("_key", F.explode(F.array_distinct(F.array(base_name(F.col("document")), _last_two(F.col("document"))))))
+    asked = paths.withColumn("_key", F.when(deep, _last_two(F.col("path"))).otherwise(base_name(F.col("path")))).where("_key <> ''")
+    # a document's bare name is asked for by short paths alone
+    return ends.join(asked, "_key").where(path_matches(F.col("document"), F.col("path"))).drop("_key")
+
+
 def overlapping(members: DataFrame, ranges: DataFrame) -> DataFrame:
     """(assembly, fqn, document, path, start_line, end_line) of spans that changed ranges touch.
 
-    A path that fits a document ends it at a segment's border, so both have the same last segment:
-    that is the join's key, and path and lines are checked behind it.
+    A path that fits a document ends it at a segment's border, so both have the same last segments:
+    the last two where the path has more than two (its first may be cut off), else the last one. That
+    is the join's key, so common file names do not meet; path and lines are checked behind it.
     """
-    left = members.withColumn("_base", base_name(F.col("document")))
-    right = ranges.withColumn("_base", base_name(F.col("path"))).where("_base <> ''")
-    hit = left.join(right, "_base").where(path_matches(F.col("document"), F.col("path")))
+    hit = fitting(members, ranges)
     hit = hit.where((F.col("first_line") <= F.col("end_line")) & (F.col("last_line") >= F.col("start_line")))
     return hit.select("assembly", "fqn", "document", "path", "start_line", "end_line")
 
 
 def unmatched(documents: DataFrame, ranges: DataFrame) -> DataFrame:
     """(path) of changed paths that fit no document (column document)."""
-    left = ranges.select("path").distinct().withColumn("_base", base_name(F.col("path")))
-    right = documents.select("document").distinct().withColumn("_base", base_name(F.col("document")))
-    hit = left.join(right, "_base").where(path_matches(F.col("document"), F.col("path"))).select("path").distinct()
-    return left.join(hit, "path", "left_anti").select("path")
+    paths = ranges.select("path").distinct()
+    hit = fitting(documents.select("document").distinct(), paths).select("path").distinct()
+    return paths.join(hit, "path", "left_anti")
 
 
 def owners(changed: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,66 +1,42 @@
 """Reachability over dependency edges, level by level.
 
 An edge (callee, caller) points where impact flows. Each level joins the frontier with the
-edges, keeps the least chain of each new node and drops what was reached before; levels are
+edges, drops what was reached before and keeps the least chain of each new node; levels are
 written to the shared folder, so neither plan nor lineage grows with depth, and a lost executor
-costs one level at most. Hot nodes are left to adaptive skew joins: the aggregation by caller
-combines before it shuffles.
+costs one level at most. Only the frontier carries chains: what was reached before is read for its
+node column alone. Small frontiers are broadcast by their measured size, so the edges stay where
+they are; hot nodes are left to adaptive skew joins, and the aggregation by caller combines before
+it shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir, stored
 
-#: Edges (or pairs) up to which a walk runs on the driver, where a round of jobs would cost more
-#: than the work; beyond, every level is distributed.
-LOCAL_ROWS = 50_000
 
+def _written(df: DataFrame, path: str) -> int:
+    """Writes a level and returns its rows, counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
 
-def _few(df: DataFrame, most: int) -> list[tuple] | None:
-    """The rows of a table that is known to be small; None if it is not."""
-    rows = df.limit(most + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= most else None
 
-
-def _walk(edges: list[tuple], seeds: list[tuple], most: int | None) -> list[tuple]:
-    """reach() in memory: (node, depth, chain)."""
-    out: dict[str, list[str]] = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-    level = {s: [s] for (s,) in seeds if s is not None}
-    seen, depth = {n: (0, c) for n, c in level.items()}, 0
-    while level and (most is None or depth < most):
-        new: dict[str, list[str]] = {}
-        for n, chain in level.items():
-            for m in out.get(n, ()):
-                if m not in seen and (m not in new or chain < new[m][:-1]):
-                    new[m] = [*chain, m]
-        depth += 1
-        seen |= {n: (depth, c) for n, c in new.items()}
-        level = new
-    return [(n, d, c) for n, (d, c) in seen.items()]
-
-
-def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None) -> DataFrame:
     """(node, depth, chain) of every node reached from seeds (column node), the seeds included.
 
     depth is the least number of edges; chain the least of the shortest chains, seed first. Cycles
     end where they meet a node reached before. Without chains, chain is not built. most bounds depth.
     """
     spark = edges.sparkSession
-    edges = stored(edges.select("callee", "caller").where("callee <> caller").distinct())
-    if local_rows and (small := _few(edges, local_rows)) is not None and (start := _few(seeds.select("node").distinct(), local_rows)) is not None:
-        rows = _walk(small, start, most)
-        return spark.createDataFrame(rows if chains else [r[:2] for r in rows], "node string, depth int" + (", chain array<string>" if chains else ""))
+    edges = stored(edges.select("callee", "caller").where("callee <> caller"))
     first = seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))
     if chains:
         first = first.withColumn("chain", F.array("node"))
-    schema, paths, depth = first.schema, [], 0
-    paths.append(shared_dir(spark))
-    first.write.parquet(paths[-1])
+    schema, paths, depth = first.schema, [shared_dir(spark)], 0
+    _written(first, paths[0])
     while most is None or depth < most:
         frontier = spark.read.schema(schema).parquet(paths[-1])
         visited = spark.read.schema(schema).parquet(*paths).select(F.col("node").alias("caller"))
@@ -72,48 +48,29 @@ def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | N
         if chains:
             cols.append(F.concat("chain", F.array("caller")).alias("chain"))
         paths.append(shared_dir(spark))
-        out.select(*cols).write.parquet(paths[-1])
-        if not spark.read.schema(schema).parquet(paths[-1]).limit(1).count():
+        if not _written(out.select(*cols), paths[-1]):
             break
     return spark.read.schema(schema).parquet(*paths)
 
 
-def _closed(pairs: list[tuple], most: int) -> list[tuple] | None:
-    """closure() in memory; None if it outgrows the driver's share."""
-    out: dict[str, list[str]] = {}
-    for x, y in pairs:
-        out.setdefault(x, []).append(y)
-    found: list[tuple] = []
-    for x in out:
-        level, seen, depth = {x}, {x}, 0
-        while level and depth < most:
-            level = {y for n in level for y in out.get(n, ()) if y not in seen}
-            seen |= level
-            depth += 1
-            found += [(x, y, depth) for y in level]
-        if len(found) > 20 * LOCAL_ROWS:
-            return None
-    return found
-
-
-def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b", local_rows: int = LOCAL_ROWS) -> DataFrame:
+def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b, depth) of the transitive closure of pairs of strings up to most steps, with the least
     depth; no name reaches itself.
 
-    Squaring: each round joins the closure so far with itself, so it takes log2(most) rounds.
+    Squaring: each round joins the closure so far with itself, so it takes log2(most) rounds, or
+    fewer where nothing is added any more.
     """
-    if local_rows and (small := _few(pairs.select(a, b).where(F.col(a) != F.col(b)).distinct(), local_rows)) is not None:
-        found = _closed(small, most)
-        if found is not None:
-            return pairs.sparkSession.createDataFrame(found, f"`{a}` string, `{b}` string, depth int")
-    known = stored(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1)))
-    size, span = known.count(), 1
+    spark = pairs.sparkSession
+    known = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1))
+    path, span = shared_dir(spark), 1
+    size, known = _written(known, path), spark.read.schema(known.schema).parquet(path)
     while span < most:
         left, right = known, known.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("depth").alias("more"))
         longer = left.join(right, "b").select("a", F.col("c").alias("b"), (F.col("depth") + F.col("more")).alias("depth"))
         longer = longer.where((F.col("depth") <= most) & (F.col("a") != F.col("b")))
-        known = stored(known.unionByName(longer).groupBy("a", "b").agg(F.min("depth").alias("depth")))
-        now, span = known.count(), span * 2
+        path = shared_dir(spark)
+        now = _written(known.unionByName(longer).groupBy("a", "b").agg(F.min("depth").alias("depth")), path)
+        known, span = spark.read.schema(known.schema).parquet(path), span * 2
         if now == size:
             break
         size = now

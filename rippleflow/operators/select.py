@@ -55,14 +55,14 @@ def _hooks(reached: DataFrame, lifecycle: DataFrame) -> DataFrame:
     return hit.select("scope", "declaring_type", F.lower("assembly").alias("_asm"), _rank(F.col("depth"), 1, F.col("node"), F.col("chain"), reason).alias("why"))
 
 
-def lifecycle_hits(reached: DataFrame, tests: DataFrame, lifecycle: DataFrame, base_types: DataFrame) -> DataFrame:
+def lifecycle_hits(reached: DataFrame, tests: DataFrame, lifecycle: DataFrame, below: DataFrame) -> DataFrame:
     """Tests within the scope of a lifecycle method that the walk reaches: of the declaring class and
     classes derived from it, of the assembly (without case), or all. Of each scope's hooks the
-    nearest speaks, so each join meets one row for a class, an assembly, or the whole."""
+    nearest speaks, so each join meets one row for a class, an assembly, or the whole. below: descendants()."""
     hooks = _hooks(reached, lifecycle)
     cols = [F.col(c) for c in tests.columns] + [F.lit(PHASE_WALK).alias("phase"), F.col("why")]
     fixture = hooks.where(F.col("scope") == SCOPE_FIXTURE).groupBy("declaring_type").agg(F.min("why").alias("why"))
-    below = descendants(base_types).select(F.col("type").alias("_t"), F.col("base").alias("_b"))
+    below = below.select(F.col("type").alias("_t"), F.col("base").alias("_b"))
     derived = fixture.join(below, F.col("declaring_type") == F.col("_b"), "left")
     derived = derived.select(F.explode(F.array_distinct(F.array(F.col("declaring_type"), F.coalesce("_t", "declaring_type")))).alias("_class"), "why").groupBy("_class").agg(F.min("why").alias("why"))
     one = derived.join(tests, F.col("_class") == F.col("declaring_type")).select(*cols)
@@ -73,10 +73,10 @@ def lifecycle_hits(reached: DataFrame, tests: DataFrame, lifecycle: DataFrame, b
     return one.unionByName(two).unionByName(three)
 
 
-def type_hits(seeded: DataFrame, tests: DataFrame, base_types: DataFrame) -> DataFrame:
-    """Tests of classes that are, or derive from, a changed type."""
+def type_hits(seeded: DataFrame, tests: DataFrame, below: DataFrame) -> DataFrame:
+    """Tests of classes that are, or derive from (below: descendants()), a changed type."""
     changed = seeded.where("type is not null").select("type").distinct()
-    below = descendants(base_types).select(F.col("type").alias("_class"), F.col("base").alias("type"))
+    below = below.select(F.col("type").alias("_class"), F.col("base").alias("type"))
     every = changed.join(below, "type").select("_class", "type").unionByName(changed.select(F.col("type").alias("_class"), "type")).distinct()
     key = type_key(F.col("type"))
     why = _rank(F.lit(0), 0, key, F.array(key), F.concat(F.lit("the fixture is or inherits from changed type "), F.col("type")))
@@ -118,6 +118,7 @@ def with_pins(selection: DataFrame, pins: DataFrame) -> DataFrame:
 
 def select_tests(reached: DataFrame, seeded: DataFrame, tests: DataFrame, lifecycle: DataFrame, base_types: DataFrame, links: DataFrame) -> DataFrame:
     """The selection: test columns, reason and chain."""
-    hits = direct_hits(reached, tests).unionByName(lifecycle_hits(reached, tests, lifecycle, base_types))
-    hits = hits.unionByName(type_hits(seeded, tests, base_types)).unionByName(provider_hits(seeded, tests, links))
+    below = descendants(base_types)
+    hits = direct_hits(reached, tests).unionByName(lifecycle_hits(reached, tests, lifecycle, below))
+    hits = hits.unionByName(type_hits(seeded, tests, below)).unionByName(provider_hits(seeded, tests, links))
     return first_reason(hits)

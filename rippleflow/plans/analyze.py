@@ -172,13 +172,13 @@ def _ladder(spark, baseline, current, build_graph, framework, changed, globs, po
 
 
 def _by_lines(current: Snapshot, build_graph, framework: str, changed: DataFrame, points: DataFrame | None, types: DataFrame, members: DataFrame) -> Result:
-    if points is None or not points.limit(1).count():
-        return Result.everything("L2", "there are no symbols in the build, so lines cannot be mapped to members")
-    spans = ranges.spans(points)
-    lost = ranges.unmatched(spans, changed)
+    spans = ranges.spans(points) if points is not None else None
+    lost = ranges.unmatched(spans, changed) if points is not None else changed.select("path").distinct()
     other = [r[0] for r in lost.where(~F.lower("path").endswith(".cs")).orderBy("path").limit(1).collect()]
     if other:
         return Result.everything("L1", f"{other[0]} belongs to no source document, so what it affects cannot be traced")
+    if points is None or not points.limit(1).count():
+        return Result.everything("L2", "there are no symbols in the build, so lines cannot be mapped to members")
     warnings = [f"{p} matches no source document" for p in _names(lost, "path")]
     changes = stored(ranges.owners(ranges.overlapping(spans, changed), types, members))
     more = {"changes": changes, "front_end": "pdb", "warnings": warnings}

@@ -208,7 +208,7 @@ _HIT = " SELECT DISTINCT t.display_name, t.assembly FROM reached JOIN {hook} h O
 
 
 def _lifecycle(r: Relations, hooks: str, scope: int) -> DataFrame:
-    hit = select.lifecycle_hits(_reached(r), r["test"], r[hooks].where(F.col("scope") == scope), r["base_type"])
+    hit = select.lifecycle_hits(_reached(r), r["test"], r[hooks].where(F.col("scope") == scope), select.descendants(r["base_type"]))
     return hit.select("display_name", "assembly").distinct()
 
 
@@ -241,7 +241,7 @@ chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assembly, di
 
 def _chosen(r: Relations) -> DataFrame:
     reached = _reached(r)
-    hits = select.direct_hits(reached, r["test"]).unionByName(select.lifecycle_hits(reached, r["test"], r["lifecycle"], r["base_type"]))
+    hits = select.direct_hits(reached, r["test"]).unionByName(select.lifecycle_hits(reached, r["test"], r["lifecycle"], select.descendants(r["base_type"])))
     return select.first_reason(hits)
 
 
@@ -437,9 +437,7 @@ def _(r):
 
 @query("suffix_match", duck(["point", "range"], f"SELECT DISTINCT document, path FROM (SELECT DISTINCT document FROM point) JOIN (SELECT DISTINCT path FROM range) ON {_BASE.format('document')} = {_BASE.format('path')} AND {_FITS}"))
 def _(r):
-    left = r["point"].select("document").distinct().withColumn("_b", S.base_name(F.col("document")))
-    right = r["range"].select("path").distinct().withColumn("_b", S.base_name(F.col("path")))
-    return left.join(right, "_b").where(S.path_matches(F.col("document"), F.col("path"))).select("document", "path")
+    return ranges.fitting(r["point"].select("document").distinct(), r["range"].select("path").distinct()).select("document", "path")
 
 
 @query("unmatched_paths", duck(["point", "range"], f"SELECT path FROM (SELECT DISTINCT path FROM range) r WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT document FROM point) WHERE {_BASE.format('document')} = {_BASE.format('path')} AND {_FITS})"))
@@ -477,9 +475,9 @@ UNION ALL SELECT fqn, min(hash), 0 FROM part p WHERE NOT EXISTS (SELECT 1 FROM o
 )
 def _(r):
     m = r["member"]
-    own = m.where("params < 2").select("type", "name", "fqn", F.concat(F.lit("text"), F.col("fqn")).alias("text"), F.col("params").alias("token"))
-    part = m.where("params = 2").select("type", F.col("name").alias("owner"), F.concat(F.lit("g"), F.col("fqn")).alias("fqn"), S.short_hash(F.col("fqn")).alias("hash"))
-    return canon.contributions(own, part)
+    own = m.where("params < 2").select("assembly", "type", "name", "fqn", F.concat(F.lit("text"), F.col("fqn")).alias("text"), F.col("params").alias("token"))
+    part = m.where("params = 2").select("assembly", "type", F.col("name").alias("owner"), F.concat(F.lit("g"), F.col("fqn")).alias("fqn"), S.short_hash(F.col("fqn")).alias("hash"))
+    return canon.contributions(own, part).drop("assembly")
 
 
 # -- filters ---------------------------------------------------------------------------------
@@ -577,10 +575,10 @@ def _(r):
     return flags.select("case_id", ladder_column().alias("rule"))
 
 
-@query("attribute_rules", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'NUnit.Framework.TestAttribute' WHEN 1 THEN 'My.Fast' ELSE 'My.Slow' END AS attribute, 'test' AS role FROM orders WHERE o_orderkey % 4 < 3 AND o_orderkey % 100 < 50")
+@query("attribute_rules", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'NUnit.Framework.TestAttribute' WHEN 1 THEN 'My.Fast' ELSE 'My.Slow' END AS attribute, 'test' AS role FROM orders WHERE o_orderkey % 4 < 3")
 def _(r):
     name = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'NUnit.Framework.TestAttribute' WHEN 1 THEN 'My.Fast' WHEN 2 THEN 'My.Slow' ELSE 'My.Other' END")
-    facts = r["orders"].where("o_orderkey % 100 < 50").select(F.col("o_orderkey").alias("k"), name.alias("attribute"))
+    facts = r["orders"].select(F.col("o_orderkey").alias("k"), name.alias("attribute"))
     bases = r.spark.createDataFrame([("My.Fast", "My.Slow"), ("My.Slow", "NUnit.Framework.TheoryAttribute"), ("My.Other", "System.Attribute")], "attribute string, base string")
     hit = rules.matched(facts, bases, rules.rule_table(r.spark, "nunit").where("role = 'test'"))
     return hit.select("k", "attribute", "role")

@@ -51,3 +51,5 @@ INTERFACE_FACT = _struct("assembly:s type:s interface:s interface_args:as")
 OVERRIDE_FACT = _struct("assembly:s member_key:s overridden_key:s")
 FIELD_FACT = _struct("assembly:s type:s name:s field_type:s flags:i constant:s")
 ATTRIBUTE_BASE = _struct("attribute:s base:s")
+MODULE_FACT = _struct("assembly:s order:i tfm:s mvid:s")
+BODY_FACT = _struct("assembly:s fqn:s locals:s regions:s")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,11 +61,20 @@ def content_hash(data: bytes, mvid: bytes = b"") -> str:
     return hashlib.sha256(out).hexdigest().upper()
 
 
+def mvid_bytes(mvid: str | None) -> bytes:
+    """A module's version id as it stands in the file; nothing if it is none."""
+    try:
+        return uuid.UUID(mvid).bytes_le if mvid else b""
+    except ValueError:
+        return b""
+
+
 def hashed(files: DataFrame) -> DataFrame:
-    """(path, content_hash) of files with their content; one file at a time in a worker."""
+    """(path, content_hash) of files (path, content and, where it is known, mvid), blind to their mvids; one file at a time in a worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "content_hash": [content_hash(bytes(c)) if c is not None else "" for c in b["content"]]})
+            yield pd.DataFrame({"path": b["path"], "content_hash": [content_hash(bytes(c), mvid_bytes(m)) if c is not None else "" for c, m in zip(b["content"], b["mvid"])]})
 
-    return files.select(F.col("path"), F.col("content")).mapInPandas(run, "path string, content_hash string")
+    mvid = F.coalesce("mvid", F.lit("")) if "mvid" in files.columns else F.lit("")
+    return files.select("path", "content", mvid.alias("mvid")).mapInPandas(run, "path string, content_hash string")

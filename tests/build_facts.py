@@ -1,4 +1,4 @@
-"""A small build as facts: an application, and test projects of four frameworks."""
+"""A garden as facts: beds that are watered by plan, and specifications in four test frameworks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 
 from rippleflow import schemas
 
-APP, NUNIT, XUNIT, TUNIT, MSTEST = "Sample.App", "Sample.NUnit", "Sample.Xunit", "Sample.TUnit", "Sample.MsTest"
+APP, NUNIT, XUNIT, TUNIT, MSTEST = "Garden", "Garden.SpecsN", "Garden.SpecsX", "Garden.SpecsU", "Garden.SpecsM"
 MS = "Microsoft.VisualStudio.TestTools.UnitTesting."
 
 
@@ -59,60 +59,62 @@ class Build:
 def sample() -> tuple[Build, dict[str, str]]:
     """The build, and full names of members by short name."""
     b, f = Build(), {}
-    D = "App.Domain."
-    b.type(APP, D + "Money").type(APP, D + "Customer").type(APP, D + "IOrders", base="", interface=True).type(APP, D + "OrderService", faces=[D + "IOrders"]).type(APP, D + "CustomerService").type(APP, D + "Text").type(APP, D + "Delivery")
-    f["Total"] = b.method(D + "OrderService", "Total", "System.Int32", ["m " + D + "Text::Trim/0"], virtual=True)
-    b.method(D + "IOrders", "Total", "System.Int32", virtual=True)
-    f["Rename"] = b.method(D + "CustomerService", "Rename", calls=["m " + D + "Text::Trim/0", "f " + D + "Customer"])
-    f["Trim"] = b.method(D + "Text", "Trim")
-    f["Days"] = b.method(D + "Delivery", "Days", "System.Int32")
-    f["Unused"] = b.method(D + "OrderService", "Unused")
-    f["Name"] = b.method(D + "Customer", "get_Name")
-    b.type(APP, D + "OrderService/<>c", declaring=D + "OrderService").type(APP, D + "OrderService/<Load>d__4", declaring=D + "OrderService")
-    f["Lambda"] = b.method(D + "OrderService/<>c", "<Total>b__3_0", calls=["m " + D + "Money::Add/1"])
-    f["Load"] = b.method(D + "OrderService", "Load", virtual=True)
-    f["MoveNext"] = b.method(D + "OrderService/<Load>d__4", "MoveNext", calls=["m " + D + "Delivery::Days/1"])
-    b.method(D + "OrderService/<>c", ".ctor")
-    f["Add"] = b.method(D + "Money", "Add", "System.Int32")
-    f["Main"] = b.method(D + "Text", "Main", static=True)
-    b.type(APP, "App.Web.OrdersController", base="Microsoft.AspNetCore.Mvc.ControllerBase", entry=D + "Text::Main/0")
-    f["Get"] = b.method("App.Web.OrdersController", "Get", calls=["m " + D + "IOrders::Total/1"])
-    # NUnit
+    # the garden: a plan tells when water comes next, and a panel shows it
+    for name, more in {"Water": {}, "Bed": {}, "IPlan": {"base": "", "interface": True}, "DripPlan": {"faces": ["Garden.IPlan"]}, "Planting": {}, "Clock": {}, "Sky": {}}.items():
+        b.type(APP, f"Garden.{name}", **more)
+    b.type(APP, "Garden.DripPlan/<>c", declaring="Garden.DripPlan").type(APP, "Garden.DripPlan/<Fetch>d__7", declaring="Garden.DripPlan")
+    f["round"] = b.method("Garden.Clock", "Round")
+    f["start"] = b.method("Garden.Clock", "Start", static=True)
+    f["rain"] = b.method("Garden.Sky", "Rain", "System.Double")
+    f["pour"] = b.method("Garden.Water", "Pour", "System.Double")
+    f["soil"] = b.method("Garden.Bed", "get_Soil")
+    b.method("Garden.IPlan", "Next", "System.Double", virtual=True)
+    f["next"] = b.method("Garden.DripPlan", "Next", "System.Double", ["m Garden.Clock::Round/0"], virtual=True)
+    f["idle"] = b.method("Garden.DripPlan", "Idle")
+    f["fetch"] = b.method("Garden.DripPlan", "Fetch", virtual=True)
+    f["lambda"] = b.method("Garden.DripPlan/<>c", "<Next>b__5_0", calls=["m Garden.Water::Pour/1"])
+    f["step"] = b.method("Garden.DripPlan/<Fetch>d__7", "MoveNext", calls=["m Garden.Sky::Rain/1"])
+    b.method("Garden.DripPlan/<>c", ".ctor")
+    f["plant"] = b.method("Garden.Planting", "Plant", calls=["m Garden.Clock::Round/0", "f Garden.Bed"])
+    b.type(APP, "Garden.Panel", base="Microsoft.AspNetCore.Mvc.ControllerBase", entry="Garden.Clock::Start/0")
+    f["show"] = b.method("Garden.Panel", "Show", calls=["m Garden.IPlan::Next/1"])
+    # NUnit: three classes of specifications, one of them derived, and a set-up for the whole assembly
     N = "NUnit.Framework."
-    b.type(NUNIT, "N.OrderServiceTests", base="N.Base").type(NUNIT, "N.Base").type(NUNIT, "N.CustomerServiceTests").type(NUNIT, "N.OrdersControllerTests").type(NUNIT, "N.ReflectionTests").type(NUNIT, "N.Cases").type(NUNIT, "N.Hooks", attrs=[N + "SetUpFixtureAttribute"])
-    b.method("N.OrderServiceTests", "CalculatesTotal", calls=["m " + D + "OrderService::Total/1"], attrs=[N + "TestAttribute"])
-    b.method("N.OrderServiceTests", "FromCases", "System.Int32", calls=["m " + D + "OrderService::Load/0"], attrs=[(N + "TestCaseSourceAttribute", ["t:N.Cases", "s:All"])])
-    f["Cases"] = b.method("N.Cases", "get_All", static=True)
-    f["SetUp"] = b.method("N.OrderServiceTests", "Prepare", attrs=[N + "SetUpAttribute"])
-    f["Hook"] = b.method("N.Hooks", "Once", attrs=[N + "OneTimeSetUpAttribute"])
-    b.method("N.CustomerServiceTests", "Renames", calls=["m " + D + "CustomerService::Rename/0"], attrs=[N + "TestAttribute"])
-    b.method("N.OrdersControllerTests", "Gets", calls=["m " + D + "Text::Main/0"], attrs=[N + "TestAttribute"])
-    b.method("N.ReflectionTests", "Finds", calls=["t App.Domain.Delivery"], attrs=[N + "TestAttribute"])
-    # xUnit
-    b.type(XUNIT, "X.OrderPricingTests").type(XUNIT, "X.CatalogTests", faces=["Xunit.IClassFixture`1<X.Catalog>"]).type(XUNIT, "X.Catalog").type(XUNIT, "X.DeliveryTests").type(XUNIT, "X.Derived", base="X.OrderPricingTests")
-    b.method("X.OrderPricingTests", "Prices", attrs=["Xunit.FactAttribute"])
-    f["XCtor"] = b.method("X.OrderPricingTests", ".ctor")
-    b.method("X.Derived", "More", attrs=["My.SlowTestAttribute"])
-    b.method("X.CatalogTests", "Reads", attrs=["Xunit.FactAttribute"])
-    b.method("X.CatalogTests", ".ctor")
-    f["Fixture"] = b.method("X.Catalog", ".ctor")
-    f["Data"] = b.method("X.DeliveryTests", "Rows", static=True)
-    b.method("X.DeliveryTests", "Estimates", "System.Int32", attrs=["Xunit.TheoryAttribute", ("Xunit.MemberDataAttribute", ["s:Rows"])])
-    # TUnit
-    b.type(TUNIT, "U.DeliveryTests").type(TUNIT, "U.PricingTests").type(TUNIT, "U.Global")
-    b.method("U.DeliveryTests", "Fast", "System.Int32", attrs=["TUnit.Core.TestAttribute", ("TUnit.Core.MethodDataSourceAttribute", ["s:Modest"])])
-    f["Modest"] = b.method("U.DeliveryTests", "Modest", static=True)
-    f["Before"] = b.method("U.DeliveryTests", "Before", attrs=[("TUnit.Core.BeforeAttribute", ["i:0"])])
-    f["Assembly"] = b.method("U.Global", "Asm", attrs=[("TUnit.Core.BeforeAttribute", ["i:2"])])
-    f["Every"] = b.method("U.Global", "Every", attrs=[("TUnit.Core.BeforeEveryAttribute", ["i:0"])])
-    b.method("U.PricingTests", "Totals", attrs=["TUnit.Core.TestAttribute"])
+    b.type(NUNIT, "Dry.Spec").type(NUNIT, "Dry.DripSpec", base="Dry.Spec").type(NUNIT, "Dry.PlantingSpec").type(NUNIT, "Dry.PanelSpec").type(NUNIT, "Dry.MirrorSpec").type(NUNIT, "Dry.Weather").type(NUNIT, "Dry.Shed", attrs=[N + "SetUpFixtureAttribute"])
+    f["drips"] = b.method("Dry.DripSpec", "Drips", calls=["m Garden.DripPlan::Next/1"], attrs=[N + "TestAttribute"])
+    b.method("Dry.DripSpec", "Forecasts", "System.Double", calls=["m Garden.DripPlan::Fetch/0"], attrs=[(N + "TestCaseSourceAttribute", ["t:Dry.Weather", "s:Days"])])
+    f["days"] = b.method("Dry.Weather", "get_Days", static=True)
+    f["fill"] = b.method("Dry.DripSpec", "Fill", attrs=[N + "SetUpAttribute"])
+    f["open"] = b.method("Dry.Shed", "Open", attrs=[N + "OneTimeSetUpAttribute"])
+    b.method("Dry.PlantingSpec", "Plants", calls=["m Garden.Planting::Plant/0"], attrs=[N + "TestAttribute"])
+    b.method("Dry.PanelSpec", "Shows", calls=["m Garden.Clock::Start/0"], attrs=[N + "TestAttribute"])
+    b.method("Dry.MirrorSpec", "Mirrors", calls=["t Garden.Sky"], attrs=[N + "TestAttribute"])
+    # xUnit: a constructor, a derived class, a shared greenhouse, rows by name
+    b.type(XUNIT, "Wet.HoseSpec").type(XUNIT, "Wet.LongHoseSpec", base="Wet.HoseSpec").type(XUNIT, "Wet.GlassSpec", faces=["Xunit.IClassFixture`1<Wet.Greenhouse>"]).type(XUNIT, "Wet.Greenhouse").type(XUNIT, "Wet.RainSpec")
+    f["uncoil"] = b.method("Wet.HoseSpec", ".ctor")
+    b.method("Wet.HoseSpec", "Sprays", attrs=["Xunit.FactAttribute"])
+    b.method("Wet.LongHoseSpec", "Reaches", attrs=["My.SlowTestAttribute"])
+    b.method("Wet.GlassSpec", ".ctor")
+    b.method("Wet.GlassSpec", "Warms", attrs=["Xunit.FactAttribute"])
+    f["glaze"] = b.method("Wet.Greenhouse", ".ctor")
+    f["drops"] = b.method("Wet.RainSpec", "Drops", static=True)
+    b.method("Wet.RainSpec", "Falls", "System.Double", attrs=["Xunit.TheoryAttribute", ("Xunit.MemberDataAttribute", ["s:Drops"])])
+    # TUnit: hooks of a class, of an assembly and of all tests; rows by method and by attribute
+    U = "TUnit.Core."
+    b.type(TUNIT, "Warm.SeedSpec").type(TUNIT, "Warm.LeafSpec").type(TUNIT, "Warm.Sun")
+    f["sow"] = b.method("Warm.SeedSpec", "Sow", attrs=[(U + "BeforeAttribute", ["i:0"])])
+    f["seeds"] = b.method("Warm.SeedSpec", "Seeds", static=True)
+    b.method("Warm.SeedSpec", "Sprouts", "System.Int32", attrs=[U + "TestAttribute", (U + "MethodDataSourceAttribute", ["s:Seeds"])])
+    f["greens"] = b.method("Warm.LeafSpec", "Greens", "System.Int32", attrs=[U + "TestAttribute", (U + "ArgumentsAttribute", ["i:4"])])
+    f["rise"] = b.method("Warm.Sun", "Rise", attrs=[(U + "BeforeAttribute", ["i:2"])])
+    f["shine"] = b.method("Warm.Sun", "Shine", attrs=[(U + "BeforeEveryAttribute", ["i:0"])])
     # MSTest
-    b.type(MSTEST, "M.OrderTotalTests").type(MSTEST, "M.DeliveryEstimateTests")
-    b.method("M.OrderTotalTests", "Totals", attrs=[MS + "TestMethodAttribute"])
-    f["Initialize"] = b.method("M.OrderTotalTests", "Initialize", attrs=[MS + "TestInitializeAttribute"])
-    f["AssemblyInit"] = b.method("M.OrderTotalTests", "AssemblyInit", static=True, attrs=[MS + "AssemblyInitializeAttribute"])
-    b.method("M.DeliveryEstimateTests", "Estimates", "System.Int32", attrs=[MS + "TestMethodAttribute", (MS + "DynamicDataAttribute", ["s:Rows"])])
-    f["Rows"] = b.method("M.DeliveryEstimateTests", "get_Rows", static=True)
+    b.type(MSTEST, "Cold.SnowSpec").type(MSTEST, "Cold.FrostSpec")
+    f["shovel"] = b.method("Cold.SnowSpec", "Shovel", attrs=[MS + "TestInitializeAttribute"])
+    f["winter"] = b.method("Cold.SnowSpec", "Winter", static=True, attrs=[MS + "AssemblyInitializeAttribute"])
+    b.method("Cold.SnowSpec", "Melts", attrs=[MS + "TestMethodAttribute"])
+    f["nights"] = b.method("Cold.FrostSpec", "get_Nights", static=True)
+    b.method("Cold.FrostSpec", "Bites", "System.Int32", attrs=[MS + "TestMethodAttribute", (MS + "DynamicDataAttribute", ["s:Nights"])])
     for asm, ref in ((NUNIT, "nunit.framework"), (XUNIT, "xunit.core"), (TUNIT, "TUnit.Core"), (MSTEST, "Microsoft.VisualStudio.TestPlatform.TestFramework"), (NUNIT, APP)):
         b.refs.append((asm, ref))
     return b, f

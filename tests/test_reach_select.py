@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from rippleflow import schemas
@@ -15,13 +14,33 @@ def nodes(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-@pytest.mark.parametrize("local", [0, 1000])
-def test_chains_and_cycles(spark, local):
+def test_chains_and_cycles(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("c", "e"), ("x", "x"))
-    got = {r.node: (r.depth, r.chain) for r in reach.reach(e, nodes(spark, "a", "a", "x"), local_rows=local).collect()}
+    got = {r.node: (r.depth, r.chain) for r in reach.reach(e, nodes(spark, "a", "a", "x")).collect()}
     assert got == {"a": (0, ["a"]), "x": (0, ["x"]), "b": (1, ["a", "b"]), "d": (1, ["a", "d"]), "c": (2, ["a", "b", "c"]), "e": (3, ["a", "b", "c", "e"])}
-    assert reach.reach(e, nodes(spark), local_rows=local).count() == 0
-    assert {r.node for r in reach.reach(e, nodes(spark, "a"), most=1, local_rows=local).collect()} == {"a", "b", "d"}
+    assert reach.reach(e, nodes(spark)).count() == 0
+    assert {r.node for r in reach.reach(e, nodes(spark, "a"), most=1).collect()} == {"a", "b", "d"}
+
+
+def test_large_graph_against_brute_force(spark):
+    """80,000 edges, one node with a third of them, duplicate edges."""
+    rnd = random.Random(8)
+    pairs = [(f"n{rnd.randrange(20_000)}", f"n{rnd.randrange(20_000)}") for _ in range(50_000)] + [("hub", f"n{i}") for i in range(27_000)] + [("n5", "hub")] * 3_000
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    chains = {"n3": ["n3"], "n5": ["n5"]}
+    level = dict(chains)
+    while level:
+        new = {}
+        for n, chain in level.items():
+            for m in out.get(n, ()):
+                if m not in chains and (m not in new or [*chain, m] < new[m]):
+                    new[m] = [*chain, m]
+        chains |= new
+        level = new
+    got = {r.node: r.chain for r in reach.reach(edges(spark, *pairs).repartition(5), nodes(spark, "n3", "n5")).collect()}
+    assert len(got) > 27_000 and got == chains
 
 
 def test_reach_against_brute_force(spark):
@@ -38,48 +57,58 @@ def test_reach_against_brute_force(spark):
     assert set(got) <= more
 
 
-@pytest.mark.parametrize("local", [0, 1000])
-def test_closure(spark, local):
+def test_closure(spark):
     pairs = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(10)], "a string, b string")
-    got = {(r.a, r.b): r.depth for r in reach.closure(pairs, 4, local_rows=local).collect()}
+    got = {(r.a, r.b): r.depth for r in reach.closure(pairs, 4).collect()}
     assert got == {(f"t{i}", f"t{j}"): j - i for i in range(11) for j in range(i + 1, min(i + 4, 10) + 1)}
+    loop = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "p"), ("p", "p")], "a string, b string")
+    assert {(r.a, r.b, r.depth) for r in reach.closure(loop, 64).collect()} == {("p", "q", 1), ("q", "r", 1), ("r", "p", 1), ("p", "r", 2), ("q", "p", 2), ("r", "q", 2)}
 
 
+# a mill with two classes of tests in the north, and a barn with one in the south
+WHEEL, STONE, OWL, SLUICE = "Mill.Wheel::Turns/0", "Mill.Stone::Grinds/0", "Barn.Owl::Hoots/0", "Mill.Sluice::Open/0"
 TESTS = [
-    ("Suite.Alpha::T1/0", "Suite.Alpha.T1", "A.Tests", "Suite.Alpha", False, "Suite", "Alpha"),
-    ("Suite.Beta::T2/0", "Suite.Beta.T2", "A.Tests", "Suite.Beta", True, "Suite", "Beta"),
-    ("Other.Gamma::T3/0", "Other.Gamma.T3", "B.Tests", "Other.Gamma", False, "Other", "Gamma"),
-    ("Other.Gamma::T3/0", "Suite.Alpha.T1", "B.Tests", "Other.Gamma", False, "Other", "Gamma"),
+    (WHEEL, "Mill.Wheel.Turns", "North", "Mill.Wheel", False, "Mill", "Wheel"),
+    (STONE, "Mill.Stone.Grinds", "North", "Mill.Stone", True, "Mill", "Stone"),
+    (OWL, "Barn.Owl.Hoots", "South", "Barn.Owl", False, "Barn", "Owl"),
+    (OWL, "Mill.Wheel.Turns", "South", "Barn.Owl", False, "Barn", "Owl"),
 ]
 
 
-def picked(spark, scope=None, bases=(), changes=(), links=(), e=(("X::m/0", "Suite.Hooks::Init/0"),), seeds=("X::m/0",)):
-    tests = spark.createDataFrame(TESTS[:3], schemas.TEST)
-    life = spark.createDataFrame([("Suite.Hooks::Init/0", scope, "Suite.Alpha", "a.tests")] if scope else [], schemas.LIFECYCLE)
-    base = spark.createDataFrame(list(bases), schemas.BASE_TYPE)
-    link = spark.createDataFrame(list(links), "provider_key string, test_key string")
-    seeded = spark.createDataFrame([(s, t) for s, t in [(s, None) for s in seeds] + list(changes)], "node string, type string")
-    reached = reach.reach(edges(spark, *e), seeded.select("node"))
-    return {r.display_name: r for r in select.select_tests(reached, seeded, tests, life, base, link).collect()}
+def chosen(spark, edge_list, seed_list, hooks=(), bases=(), types=(), providers=()):
+    """Selected tests of the first three by name."""
+    seeded = spark.createDataFrame([(s, None) for s in seed_list] + [(f"TN:{t}", t) for t in types], "node string, type string")
+    walked = reach.reach(edges(spark, *edge_list), seeded.select("node"))
+    out = select.select_tests(
+        walked, seeded, spark.createDataFrame(TESTS[:3], schemas.TEST), spark.createDataFrame(list(hooks), schemas.LIFECYCLE), spark.createDataFrame(list(bases), schemas.BASE_TYPE), spark.createDataFrame(list(providers), "provider_key string, test_key string")
+    )
+    return {r.display_name: r for r in out.collect()}
 
 
-@pytest.mark.parametrize("scope, expected", [(1, {"Suite.Alpha.T1"}), (2, {"Suite.Alpha.T1", "Suite.Beta.T2"}), (3, {"Suite.Alpha.T1", "Suite.Beta.T2", "Other.Gamma.T3"}), (None, set())])
-def test_lifecycle_scopes(spark, scope, expected):
-    assert set(picked(spark, scope)) == expected
+def test_how_far_a_hook_counts(spark):
+    """The river feeds the sluice, a hook of the wheel's class: alone, with its assembly (without case), or for all."""
+    far = {s: set(chosen(spark, [("River::Rise/0", SLUICE)], ["River::Rise/0"], [(SLUICE, s, "Mill.Wheel", "NORTH")])) for s in (schemas.SCOPE_FIXTURE, schemas.SCOPE_ASSEMBLY, schemas.SCOPE_GLOBAL)}
+    assert far[schemas.SCOPE_FIXTURE] == {"Mill.Wheel.Turns"}
+    assert far[schemas.SCOPE_ASSEMBLY] == far[schemas.SCOPE_FIXTURE] | {"Mill.Stone.Grinds"}
+    assert far[schemas.SCOPE_GLOBAL] == far[schemas.SCOPE_ASSEMBLY] | {"Barn.Owl.Hoots"}
+    assert chosen(spark, [("River::Rise/0", SLUICE)], ["River::Rise/0"]) == {}  # no hook, no test
 
 
-def test_derived_fixtures(spark):
-    assert set(picked(spark, 1, bases=[("Other.Gamma", "Suite.Alpha"), ("Suite.Alpha", "Object")])) == {"Suite.Alpha.T1", "Other.Gamma.T3"}
-    got = picked(spark, None, bases=[("Suite.Beta", "Base")], changes=[("TN:Base", "Base")], seeds=())
-    assert set(got) == {"Suite.Beta.T2"} and "inherits" in got["Suite.Beta.T2"].reason
+def test_classes_below(spark):
+    tree = [("Barn.Owl", "Barn.Bird"), ("Barn.Bird", "Mill.Wheel"), ("Mill.Wheel", "Object")]
+    assert set(chosen(spark, [("River::Rise/0", SLUICE)], ["River::Rise/0"], [(SLUICE, 1, "Mill.Wheel", "North")], tree)) == {"Mill.Wheel.Turns", "Barn.Owl.Hoots"}
+    got = chosen(spark, [], [], bases=tree, types=["Barn.Bird"])
+    assert set(got) == {"Barn.Owl.Hoots"} and "inherits" in got["Barn.Owl.Hoots"].reason
 
 
 def test_reasons(spark):
-    got = picked(spark, 1, e=(("P::m/1", "Suite.Alpha::T1/0"), ("P::m/1", "Suite.Hooks::Init/0")), seeds=("P::m/1", "Suite.Beta::T2/0"))
-    assert got["Suite.Alpha.T1"].reason == "P.m reaches this test in 1 hop(s)" and got["Suite.Alpha.T1"].chain == ["P::m/1", "Suite.Alpha::T1/0"]
-    assert got["Suite.Beta.T2"].reason == "the test itself changed (Suite.Beta.T2)"
-    got = picked(spark, None, links=[("P::Cases/0", "Other.Gamma::T3/0")], seeds=("P::Cases/0",), e=(("P::Cases/0", "Other.Gamma::T3/0"),))
-    assert got["Other.Gamma.T3"].reason == "data provider changed: P.Cases"
+    got = chosen(spark, [("Grain::Sack/2", "Flour::Mix/0"), ("Flour::Mix/0", STONE), ("Grain::Sack/2", SLUICE)], ["Grain::Sack/2", WHEEL], [(SLUICE, 1, "Mill.Stone", "North")])
+    assert got["Mill.Wheel.Turns"].reason == "the test itself changed (Mill.Wheel.Turns)"
+    assert got["Mill.Stone.Grinds"].chain == ["Grain::Sack/2", SLUICE] and "lifecycle" in got["Mill.Stone.Grinds"].reason  # nearer than by the flour
+    got = chosen(spark, [("Grain::Sack/2", "Flour::Mix/0"), ("Flour::Mix/0", STONE)], ["Grain::Sack/2"])
+    assert got["Mill.Stone.Grinds"].reason == "Grain.Sack reaches this test in 2 hop(s)"
+    got = chosen(spark, [("Night::Hours/0", OWL)], ["Night::Hours/0"], providers=[("Night::Hours/0", OWL)])
+    assert got["Barn.Owl.Hoots"].reason == "data provider changed: Night.Hours"
 
 
 def test_equal_names_in_two_assemblies_stay_two(spark):
@@ -96,22 +125,21 @@ def test_seeds(spark):
 
 def test_pins(spark):
     tests = spark.createDataFrame(TESTS[:3], schemas.TEST)
-    pins = select.always_run(tests, ["*.t?", "suite.*"])
-    assert {(r.display_name, r.reason) for r in pins.collect()} == {(t[1], "always run: *.t?") for t in TESTS[:3]}
-    chosen = pins.where("display_name = 'Suite.Beta.T2'")
-    assert select.with_pins(chosen, pins).count() == 3
+    pins = select.always_run(tests, ["*.gr?nds", "*.*.?????", "mill.*"])
+    assert {(r.display_name, r.reason) for r in pins.collect()} == {("Mill.Stone.Grinds", "always run: *.gr?nds"), ("Mill.Wheel.Turns", "always run: *.*.?????"), ("Barn.Owl.Hoots", "always run: *.*.?????")}
+    assert select.with_pins(pins.where("display_name = 'Mill.Stone.Grinds'"), pins).count() == 3
 
 
 def selection(spark, tests):
-    return spark.createDataFrame([(*t, "r", ["k"]) for t in tests], schemas.TEST.add("reason", "string").add("chain", "array<string>")) if False else spark.createDataFrame(tests, schemas.TEST).withColumns({"reason": F.lit("r"), "chain": F.array(F.lit("k"))})
+    return spark.createDataFrame(tests, schemas.TEST).withColumns({"reason": F.lit("r"), "chain": F.array(F.lit("k"))})
 
 
 def test_filters(spark):
     s = selection(spark, TESTS[:3])
     got = {r.assembly: r for r in emit.filters(s, "VsTest").collect()}
-    assert got["A.Tests"].filter == "FullyQualifiedName=Suite.Alpha.T1|FullyQualifiedName~Suite.Beta.T2" and got["A.Tests"].test_count == 2
+    assert got["North"].filter == "FullyQualifiedName~Mill.Stone.Grinds|FullyQualifiedName=Mill.Wheel.Turns" and got["North"].test_count == 2
     got = {r.assembly: r.filter for r in emit.filters(s, "TreeNode").collect()}
-    assert got == {"A.Tests": "/A.Tests/*/(Alpha|Beta)/(T1|T2*)", "B.Tests": "/B.Tests/*/(Gamma)/(T3)"}
+    assert got == {"North": "/North/*/(Stone|Wheel)/(Grinds*|Turns)", "South": "/South/*/(Owl)/(Hoots)"}
     many = selection(spark, [(f"k{i}", f"N.C.T{i}", "A", "N.C", False, "N", "C") for i in range(5)])
     row = emit.filters(many, "VsTest", spark.createDataFrame([("a", "/out/a.dll")], "name string, dll string"), 3).first()
     assert (row.run_whole_assembly, row.filter, row.test_count, row.dll) == (True, "", 5, "/out/a.dll")

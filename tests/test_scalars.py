@@ -53,8 +53,8 @@ def test_owner(spark, name, member, type_):
 @pytest.mark.parametrize(
     "fqn, key",
     [
-        ("System.Int32 T::M(System.Func`2<System.Int32,System.String>,System.Int32)", "T::M/2"),
-        ("SampleApp.Domain.Customer::<type>", "TN:SampleApp.Domain.Customer"),
+        ("Mill.Sack Mill.Stone::Grind(Mill.Pair`2<Mill.Grain,Mill.Pair`2<Mill.Oat,Mill.Rye>>,System.Double,Mill.Grain)", "Mill.Stone::Grind/3"),
+        ("Mill.Wheel::<type>", "TN:Mill.Wheel"),
         ("System.Void T::.ctor()", "T::.ctor/0"),
         ("System.Void modreq(System.Runtime.CompilerServices.IsExternalInit) N.C::set_Name(System.String)", "N.C::set_Name/1"),
         ("System.Void T::M(System.Int32[,],System.String)", "T::M/2"),
