@@ -10,8 +10,13 @@ verified on the whole sets:
   eight million, above that more rarely still.
 
 Sets that meet under a key are first compared with its hub alone, the same node under most keys
-of a group, which joins the members of a large group at a cost linear in the entries. Then, under the
-keys whose sets are not in one component yet, with second hubs; then all pairs across components.
+of a group, which joins the members of a large group at a cost linear in the entries.
+
+Under the keys whose sets are not in one component yet, all links across components are found exactly,
+and without pairing a group's members with each other: let the shingles of these sets be ordered by
+the number of sets that have them, rarest first. What stands ahead of the first common shingle is in
+one set alone, so of two sets of similarity 0.8 one has it among its first eighth, the other among its
+first fifth. Members of a group that differ by more than that have shingles of their own there and do not meet.
 """
 
 from __future__ import annotations
@@ -130,14 +135,36 @@ def _sizes_fit(a: str, b: str) -> Column:
     return UNDER * F.least(a, b) >= OVER * F.greatest(a, b)
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Those of the stored pairs (a, b, total) of nodes whose similarity is at least OVER / UNDER, verified on whole sets."""
-    asked = K.stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select(F.col("least").alias(key)))
+def _may(ia: str, na: str, ib: str, nb: str) -> Column:
+    """Whether sizes and places allow the similarity, if this is the first shingle that both sets have."""
+    return _sizes_fit(na, nb) & ((OVER + UNDER) * (F.col(ia) + F.col(ib)) <= (UNDER - OVER) * (F.col(na) + F.col(nb)))
+
+
+def _sets_of(fps: DataFrame, nodes: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """(fp, set) of some nodes (column fp), worked out again from their texts."""
+    asked = K.stored(nodes.join(fps, "fp", "left_semi").select(F.col("least").alias(key)))
     sets = K.stored(_sets(_some(df, asked, key)).dropDuplicates(["fp"]))  # a repeated row has its set twice
+    K.discard(asked)
+    return sets
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, total) of nodes whose similarity is at least OVER / UNDER, verified on whole sets."""
     met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
-    found = K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b"))
-    K.discard(asked, sets)
-    return found
+    return K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b"))
+
+
+def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, total) of nodes (fp, n, part) of different parts that can be similar; none that is gets lost."""
+    had = sets.join(open_, "fp").select("fp", "n", "part", F.explode("set").alias("shingle"))
+    rare = had.groupBy("shingle").agg(F.count("*").alias("sets"))
+    placed = had.join(rare, "shingle").groupBy("fp", "n", "part").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("order"))  # one node's shingles
+    first = placed.select("fp", "n", "part", F.posexplode(F.expr(f"slice(order, 1, n - (({OVER} * n + {UNDER - 1}) div {UNDER}) + 1)")).alias("place", "s"))
+    first = K.stored(first.where("s.sets > 1").select(F.col("s.shingle").alias("shingle"), "fp", "n", "part", "place"))
+    a = first.where("8 * place <= n").select("shingle", F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("place").alias("ia"))
+    b = first.select("shingle", F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("place").alias("ib"))
+    met = a.join(b, "shingle").where((F.col("pa") != F.col("pb")) & _may("ia", "na", "ib", "nb"))
+    return met.select(*_pair("fa", "fb"), (F.col("na") + F.col("nb")).alias("total")).distinct()
 
 
 def _close(nodes: DataFrame) -> DataFrame:
@@ -168,32 +195,25 @@ def near_duplicates(df: DataFrame, key: str) -> DataFrame:
     short = shared.count() <= BROADCAST_ROWS
     entry = K.stored(entry.join(F.broadcast(shared) if short else shared, "band"))
     asked = K.stored(_fitting(entry.where("fp <> hub.fp")).unionByName(_close(nodes)).distinct())
-    found, settled = _links(asked, nodes, df, key), [asked]
-    # what the hubs have not joined: the nodes farthest from them as second hubs, then all pairs
-    for last in (False, True):
-        parts = K.stored(components(found, "a", "b"))
-        placed = entry.join(parts, entry["fp"] == parts["node"], "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("part"))
-        open_ = K.stored(placed.groupBy("band").agg(F.min(F.struct("part", "fp", "n")).alias("lo"), F.max(F.struct("part", "fp", "n")).alias("hub")).where("lo.part <> hub.part").select("band", "hub"))
-        placed = K.stored(placed.join(F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_, "band"))
-        if last:
-            a = placed.select("band", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-            b = placed.select("band", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-            met = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("total"))
-        else:
-            met = _fitting(placed.where(F.col("part") != F.col("hub.part")))
-        met = met.distinct()
-        for old in settled:
-            met = met.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        met = K.stored(met)
-        more = _links(met, nodes, df, key)
-        found = K.stored(found.unionByName(more))
-        settled.append(met)
-        K.discard(parts, open_, placed, more)
-    parts = components(found, "a", "b")
+    sets = _sets_of(asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), nodes, df, key)
+    found = _links(asked, sets)
+    parts = K.stored(components(found, "a", "b"))
+    K.discard(sets)
+    # the keys whose nodes the hubs have not joined
+    placed = K.stored(entry.join(parts, entry["fp"] == parts["node"], "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("part")))
+    wide = K.stored(placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band"))
+    open_ = K.stored(_some(placed, wide, "band").select("fp", "n", "part").distinct())
+    if open_.limit(1).count():
+        sets = _sets_of(open_.select("fp"), nodes, df, key)
+        met = K.stored(_across(open_, sets).join(asked.select("a", "b"), ["a", "b"], "left_anti"))
+        more = _links(met, sets)
+        if more.limit(1).count():  # components so far are stars: few steps join them
+            parts = K.stored(components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"))
+        K.discard(sets, met)
     parts = K.stored(nodes.join(parts, nodes["fp"] == parts["node"]).select("fp", "root", "least"))
     roots = parts.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = parts.join(roots, "root").select("fp", "component_id")
     alone = nodes.join(parts.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     out = K.stored(docs.select(key, "fp").join(linked.unionByName(alone), "fp").select(key, "component_id"))
-    K.discard(docs, nodes, entry, shared, found, parts, *settled)
+    K.discard(docs, nodes, entry, shared, asked, found, parts, placed, wide, open_)
     return out

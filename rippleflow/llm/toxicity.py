@@ -62,7 +62,7 @@ LEAN = 2.0
 #: The least precision of a feature that tells toxic texts, and the chance that any feature gets there by luck.
 PRECISION, LUCK = 0.94, 0.05
 
-_TWO = re.compile(r"(.)\1")
+_TWO, _TWO_UP = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 _EDGE = re.compile(r"^(?:([^\w\s])\1{2,}|[\"'“”‘’«»(\[{<,.;:?¿…-])+|(?:([^\w\s])\2{2,}|[\"'“”‘’«»)\]}>,.;:?!…-])+$")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 
@@ -298,6 +298,13 @@ class Reader:
         self.restorer, self.ids, self.memory = Restorer(model), ids, {}
         stems = {x.rstrip("-") for x in ids or ()}
         self.stems, self.heads = stems, {x[:n] for x in stems for n in range(1, len(x))}
+        self.single = {_TWO_UP.sub(r"\1", x) for x in stems}  # letters that are repeated, once
+        self.sizes = sorted({len(x) for x in self.single})
+
+    def may_tell(self, low: str) -> bool:
+        """Whether a word of letters could be restored to one that begins like a telling word: repeated letters are all that can go."""
+        once = _TWO_UP.sub(r"\1", low)
+        return self.ids is None or any(once[:n] in self.single for n in self.sizes)
 
     def read(self, words: str) -> list:
         names = features_of(words)
@@ -311,7 +318,8 @@ class Reader:
         for t in found:
             got = memory.get(t)
             if got is None:
-                words = self.restorer.restore(t.decode())
+                low = t.decode().lower()
+                words = low if low.isalpha() and not self.may_tell(low) else self.restorer.restore(low)
                 memory[t] = got = (self.read(words), words in self.heads)
             out.append(got)
         return [x for x, _ in out], np.array([y for _, y in out], bool)
