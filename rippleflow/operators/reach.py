@@ -24,14 +24,16 @@ def _written(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None, written: bool = False) -> DataFrame:
     """(node, depth, chain) of every node reached from seeds (column node), the seeds included.
 
     depth is the least number of edges; chain the least of the shortest chains, seed first. Cycles
     end where they meet a node reached before. Without chains, chain is not built. most bounds depth.
+    written: the edges are a table that can be read at every level; else they are written once.
     """
     spark = edges.sparkSession
-    edges = stored(edges.select("callee", "caller").where("callee <> caller"))
+    edges = edges.select("callee", "caller").where("callee <> caller")
+    edges = edges if written else stored(edges)
     first = seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))
     if chains:
         first = first.withColumn("chain", F.array("node"))
@@ -64,7 +66,7 @@ def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFram
     known = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1))
     path, span = shared_dir(spark), 1
     size, known = _written(known, path), spark.read.schema(known.schema).parquet(path)
-    while span < most:
+    while size and span < most:
         left, right = known, known.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("depth").alias("more"))
         longer = left.join(right, "b").select("a", F.col("c").alias("b"), (F.col("depth") + F.col("more")).alias("depth"))
         longer = longer.where((F.col("depth") <= most) & (F.col("a") != F.col("b")))

@@ -116,9 +116,8 @@ def with_pins(selection: DataFrame, pins: DataFrame) -> DataFrame:
     return selection.unionByName(pins.join(selection, ["assembly", "display_name"], "left_anti").select(*selection.columns))
 
 
-def select_tests(reached: DataFrame, seeded: DataFrame, tests: DataFrame, lifecycle: DataFrame, base_types: DataFrame, links: DataFrame) -> DataFrame:
-    """The selection: test columns, reason and chain."""
-    below = descendants(base_types)
+def select_tests(reached: DataFrame, seeded: DataFrame, tests: DataFrame, lifecycle: DataFrame, below: DataFrame, links: DataFrame) -> DataFrame:
+    """The selection: test columns, reason and chain. below: descendants() of the build's types."""
     hits = direct_hits(reached, tests).unionByName(lifecycle_hits(reached, tests, lifecycle, below))
     hits = hits.unionByName(type_hits(seeded, tests, below)).unionByName(provider_hits(seeded, tests, links))
     return first_reason(hits)

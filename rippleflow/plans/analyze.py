@@ -41,7 +41,7 @@ class Graph:
     edges: DataFrame
     tests: DataFrame
     lifecycle: DataFrame
-    base_types: DataFrame
+    below: DataFrame
     type_members: DataFrame
     provider_links: DataFrame
     frameworks: DataFrame
@@ -85,8 +85,8 @@ def _few(df: DataFrame, total: int) -> str:
 
 def _select(g: Graph, changes: DataFrame) -> DataFrame:
     seeded = stored(select.seeds(changes, g.type_members))
-    reached = reach.reach(g.edges, seeded.select("node"))
-    return stored(select.select_tests(reached, seeded, g.tests, g.lifecycle, g.base_types, g.provider_links))
+    reached = reach.reach(g.edges, seeded.select("node"), written=True)
+    return stored(select.select_tests(reached, seeded, g.tests, g.lifecycle, g.below, g.provider_links))
 
 
 def no_tests(g: Graph, framework: str) -> str | None:
@@ -205,7 +205,7 @@ def graph_of(framework: str, facts: dict[str, DataFrame], scope: DataFrame) -> G
     edges = graph.build(f["types"], f["members"], f["instructions"], f["interfaces"], f["overrides"], scope, lifecycle, fixtures, refs)
     own = graph.type_members(f["members"])
     present = graph.frameworks_present(f["references"], rules.marker_table(tests.sparkSession))
-    parts = (edges, tests, lifecycle, graph.base_types(f["types"]), own, graph.provider_links(refs, own), present)
+    parts = (edges, tests, lifecycle, select.descendants(graph.base_types(f["types"])), own, graph.provider_links(refs, own), present)
     return Graph(*[stored(x) for x in parts])  # many plans read these
 
 

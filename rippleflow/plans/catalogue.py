@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import scalars as S
 from ..operators import canon, diff, emit, graph, ranges, reach, rules, select
 from ..sources import cache, changes, listing, solution
@@ -330,6 +331,70 @@ def _(r):
     return graph.frameworks_present(r["ref"], markers)
 
 
+_CALLERS = "caller AS (SELECT DISTINCT fqn, type || '::' || name || '/' || CAST(params AS STRING) AS key, type AS user_type FROM member)"
+
+
+def _callers(r: Relations) -> DataFrame:
+    m = r["member"]
+    return m.select("assembly", "fqn", S.method_key(F.col("type"), F.col("name"), F.col("params")).alias("key"), F.col("type").alias("user_type")).distinct()
+
+
+@query("member_type_edges", duck(["member"], f"+{_CALLERS} SELECT DISTINCT key AS callee, 'TN:' || user_type AS caller, 'member' AS kind FROM caller"))
+def _(r):
+    return graph.member_edges(_callers(r))
+
+
+@query(
+    "body_edges",
+    duck(
+        ["member", "code"],
+        f"""+{_CALLERS}, c AS (SELECT code.*, key FROM code JOIN caller USING (fqn)),
+e AS (SELECT target_type || '::' || target_name || '/' || CAST(target_params AS STRING) AS callee, key AS caller, 'call' AS kind FROM c WHERE operand_kind = 'm' AND lower(target_scope) = 'a'
+  UNION ALL SELECT 'TN:' || target_type, key, 'field' FROM c WHERE operand_kind = 'f' AND lower(target_scope) = 'a' UNION ALL SELECT 'TN:' || type_arg, key, 'generic' FROM c WHERE operand_kind IN ('m', 'f') AND type_arg IS NOT NULL AND type_arg <> '!0')
+SELECT callee, caller, kind, count(*) AS n FROM e GROUP BY ALL""",
+    ),
+)
+def _(r):
+    code = r["code"].withColumn("type_args", F.when(F.col("type_arg").isNotNull(), F.array("type_arg")).otherwise(F.array().cast("array<string>")))
+    scope = r.spark.createDataFrame([("A",)], "name string")
+    return graph.body_edges(code, _callers(r), scope).groupBy("callee", "caller", "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    "user_types",
+    duck(
+        ["nested"],
+        "+up(type, over, depth) AS (SELECT type, declaring_type, 1 FROM nested WHERE declaring_type IS NOT NULL UNION ALL SELECT u.type, n.declaring_type, u.depth + 1 FROM up u JOIN nested n ON n.type = u.over WHERE n.declaring_type IS NOT NULL AND u.depth < 16), near AS (SELECT u.type, u.over, row_number() OVER (PARTITION BY u.type ORDER BY u.depth) AS k FROM up u JOIN nested o ON o.type = u.over JOIN nested t ON t.type = u.type WHERE NOT starts_with(o.simple_name, '<') AND starts_with(t.simple_name, '<')) SELECT type, type AS user_type FROM nested WHERE NOT starts_with(simple_name, '<') UNION ALL SELECT type, over FROM near WHERE k = 1",
+        True,
+    ),
+)
+def _(r):
+    return graph.user_types(r["nested"])
+
+
+@query(
+    "type_texts",
+    duck(
+        ["nested", "interface", "field"],
+        """+face AS (SELECT type, string_agg('iface|' || interface || chr(10), '' ORDER BY interface) AS faces FROM interface GROUP BY type),
+f AS (SELECT type, string_agg('field|' || name || '|' || field_type || '|fl:' || printf('%X', flags) || coalesce('|const:' || constant, '') || chr(10), '' ORDER BY name) AS fields FROM field GROUP BY type)
+SELECT n.type, upper(substr(sha256('type|' || n.type || '|fl:' || printf('%X', (n.flags + 4294967296) % 4294967296) || '|ga:' || CAST(arity AS STRING) || '|base:' || CASE WHEN base = '' THEN '-' ELSE base END || chr(10) || coalesce(faces, '') || coalesce(fields, '')), 1, 32)) AS hash FROM nested n LEFT JOIN face USING (type) LEFT JOIN f USING (type)""",
+    ),
+)
+def _(r):
+    faces = r["interface"].withColumn("assembly", F.lit("A"))
+    none = r.spark.createDataFrame([], schemas.ATTRIBUTE_FACT)
+    return canon.type_texts(r["nested"], faces, r["field"], none).select("type", S.short_hash(F.col("text")).alias("hash"))
+
+
+_SEEDS = (
+    _METHODS
+    + f""", {_KEYED[1:]}, named AS (SELECT *, CASE WHEN fqn LIKE '%::<type>' THEN 'TN:' || split_part(fqn, '::', 1) ELSE regexp_extract(fqn, '^(?:[^ ]* )*([^ ]*)::', 1) || '::' || regexp_extract(fqn, '::([^(]*)', 1) || '/' || CAST({{count}} AS STRING) END AS node FROM changes),
+t AS (SELECT DISTINCT CASE WHEN starts_with(node, 'TN:') THEN substr(node, 4) WHEN kind = 'removed' THEN split_part(node, '::', 1) END AS type FROM named),
+seeded AS (SELECT node, CAST(NULL AS STRING) AS type FROM named WHERE NOT starts_with(node, 'TN:') UNION SELECT 'TN:' || type, type FROM t WHERE type IS NOT NULL UNION SELECT k.member_key, t.type FROM t JOIN keyed k ON k.type = t.type)"""
+)
+
+
 # -- scalars ---------------------------------------------------------------------------------
 
 
@@ -395,6 +460,30 @@ def _(r):
     return graph.type_members(r["member"]).select("member_key", S.member_name(F.col("member_key")).alias("name"))
 
 
+@query("type_seeds", duck([*_SNAP, "member"], _SEEDS.format(count=_COUNT) + " SELECT node, type FROM seeded"))
+def _(r):
+    return select.seeds(_changes(r), graph.type_members(r["member"]))
+
+
+_HIT_TYPES = ["test", "base_type", "seed"]
+
+
+@query("type_change_hits", duck(_HIT_TYPES, f"+{_BELOW}, changed AS (SELECT DISTINCT base AS type FROM base_type WHERE CAST(substr(base, 3) AS INT) % 50 = 7) SELECT DISTINCT t.display_name, t.assembly FROM changed c JOIN below b ON b.base = c.type JOIN test t ON t.declaring_type = b.type", True))
+def _(r):
+    changed = r["base_type"].where("CAST(substr(base, 3) AS INT) % 50 = 7").select(F.concat(F.lit("TN:"), F.col("base")).alias("node"), F.col("base").alias("type")).distinct()
+    return select.type_hits(changed, r["test"], select.descendants(r["base_type"])).select("display_name", "assembly").distinct()
+
+
+_LINKS = "hit AS (SELECT r.type, r.member, k.member_key, r.test_key FROM provider_ref r JOIN keyed k ON k.type = r.type AND (r.member = '*' OR r.member = k.name)), link AS (SELECT member_key AS provider_key, test_key FROM hit UNION SELECT k.member_key, r.test_key FROM provider_ref r JOIN keyed k ON k.type = r.type WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.type = r.type AND h.member = r.member AND h.test_key = r.test_key))"
+
+
+@query("provider_change_hits", duck(["test", "member", "provider_ref"], f"{_KEYED}, {_LINKS} SELECT DISTINCT t.display_name, t.assembly FROM keyed k JOIN link l ON l.provider_key = k.member_key JOIN test t ON t.key = l.test_key WHERE k.name = 'M2'"))
+def _(r):
+    own = graph.type_members(r["member"])
+    changed = own.where(S.member_name(F.col("member_key")) == "M2").select(F.col("member_key").alias("node"), F.lit(None).cast("string").alias("type"))
+    return select.provider_hits(changed, r["test"], graph.provider_links(r["provider_ref"], own)).select("display_name", "assembly").distinct()
+
+
 # -- changed ranges --------------------------------------------------------------------------
 
 _LIST = """+t AS (SELECT trim(line) AS x FROM listed), p AS (SELECT x, regexp_extract(x, '^(.*):([0-9]+)(-([0-9]+))?$', 1) AS path, try_cast(regexp_extract(x, '^(.*):([0-9]+)(-([0-9]+))?$', 2) AS INT) AS a,

@@ -45,6 +45,9 @@ ADAPTERS: dict[str, str] = {
     "member": "SELECT 'A' AS assembly, 'T' || CAST(o_custkey AS STRING) AS type, 'M' || CAST(o_orderkey % 6 AS STRING) AS name, CAST(o_orderkey % 3 AS INT) AS params, 'F' || CAST(o_orderkey AS STRING) AS fqn, (o_orderkey @div@ 10) % 4 <> 0 AS is_virtual, false AS is_static, false AS is_ctor FROM {orders}",
     "type": "SELECT 'A' AS assembly, 'T' || CAST(c_custkey AS STRING) AS type, 'T' || CAST(c_custkey AS STRING) AS simple_name, CAST(NULL AS STRING) AS declaring_type, CASE WHEN c_custkey > 0 THEN 'T' || CAST(c_custkey @div@ 3 AS STRING) ELSE '' END AS base FROM {customer}",
     "interface": "SELECT 'T' || CAST(c_custkey AS STRING) AS type, 'T' || CAST(c_custkey @div@ 5 AS STRING) AS interface FROM {customer} WHERE c_custkey > 0",
+    "nested": "SELECT 'A' AS assembly, 'T' || CAST(c_custkey AS STRING) AS type, CASE WHEN c_custkey % 3 = 0 THEN '<>c' ELSE 'N' || CAST(c_custkey AS STRING) END AS simple_name, CASE WHEN c_custkey % 7 <> 5 AND c_custkey > 0 THEN 'T' || CAST(c_custkey @div@ 2 AS STRING) END AS declaring_type, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'B' || CAST(c_nationkey AS STRING) END AS base, CAST(c_custkey % 5 AS INT) AS arity, CAST(-c_nationkey AS INT) AS flags FROM {customer}",
+    "field": "SELECT 'A' AS assembly, 'T' || CAST(o_custkey AS STRING) AS type, 'f' || CAST(o_orderkey AS STRING) AS name, o_orderstatus AS field_type, CAST(o_orderkey % 9 AS INT) AS flags, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS constant FROM {orders}",
+    "code": "SELECT 'A' AS assembly, 'F' || CAST(l_orderkey AS STRING) AS fqn, CASE l_linenumber % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'f' ELSE 's' END AS operand_kind, 'T' || CAST(l_partkey AS STRING) AS target_type, 'M' || CAST(l_suppkey % 6 AS STRING) AS target_name, CAST(l_linenumber % 4 AS INT) AS target_params, CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'Other' END AS target_scope, CASE WHEN l_linenumber % 3 <> 2 AND l_partkey % 5 = 0 THEN 'G' || CAST(l_partkey AS STRING) WHEN l_partkey % 7 = 1 THEN '!0' END AS type_arg FROM {lineitem}",
     "provider_ref": "SELECT 'T' || CAST(c_custkey AS STRING) AS type, CASE WHEN c_custkey % 5 = 0 THEN '*' WHEN c_custkey % 5 = 1 THEN 'None' ELSE 'M' || CAST(c_custkey % 6 AS STRING) END AS member, 'C:' || CAST(c_custkey AS STRING) AS test_key FROM {customer}",
     "candidate": "SELECT 'p' || CAST(s_suppkey AS STRING) AS project, '/out/p' || CAST(s_suppkey AS STRING) || '/bin/net' || CAST(6 + n AS STRING) || '.0' AS directory FROM {supplier} JOIN (SELECT n_nationkey AS n FROM {nation} WHERE n_nationkey < 4) ON s_suppkey % 4 >= n",
     "tfm_attribute": "SELECT CAST(n_nationkey AS INT) AS \"order\", CASE n_nationkey % 3 WHEN 0 THEN '.NETCoreApp,Version=v' || CAST(n_nationkey % 11 AS STRING) || '.' || CAST(n_nationkey % 4 AS STRING) WHEN 1 THEN '.NETStandard,Version=v2.1' ELSE '.NETCoreApp,Version=v' || CAST(n_nationkey % 10 AS STRING) || '.0' END AS tfm FROM {nation}",

@@ -80,7 +80,7 @@ def chosen(spark, edge_list, seed_list, hooks=(), bases=(), types=(), providers=
     seeded = spark.createDataFrame([(s, None) for s in seed_list] + [(f"TN:{t}", t) for t in types], "node string, type string")
     walked = reach.reach(edges(spark, *edge_list), seeded.select("node"))
     out = select.select_tests(
-        walked, seeded, spark.createDataFrame(TESTS[:3], schemas.TEST), spark.createDataFrame(list(hooks), schemas.LIFECYCLE), spark.createDataFrame(list(bases), schemas.BASE_TYPE), spark.createDataFrame(list(providers), "provider_key string, test_key string")
+        walked, seeded, spark.createDataFrame(TESTS[:3], schemas.TEST), spark.createDataFrame(list(hooks), schemas.LIFECYCLE), select.descendants(spark.createDataFrame(list(bases), schemas.BASE_TYPE)), spark.createDataFrame(list(providers), "provider_key string, test_key string")
     )
     return {r.display_name: r for r in out.collect()}
 

@@ -50,7 +50,7 @@ DRIP, PLANT, PANEL = {"DripSpec.Drips", "DripSpec.Forecasts"}, {"PlantingSpec.Pl
 #: What is edited (by short name, or in full, and how), and exactly which specifications it selects.
 EDITS = {
     "nunit": [
-        ("a method two features share", [("round", "changed")], DRIP | PLANT | PANEL),
+        ("a method two features share", [("round", "changed")], DRIP - {"DripSpec.Forecasts"} | PLANT | PANEL),
         ("a method behind an interface", [("next", "changed")], DRIP - {"DripSpec.Forecasts"} | PANEL),
         ("code a lambda calls", [("pour", "changed")], DRIP - {"DripSpec.Forecasts"} | PANEL),
         ("code an awaiting method calls", [("rain", "changed")], {"DripSpec.Forecasts"}),
@@ -161,7 +161,7 @@ def test_ladder(spark, build, tmp_path):
     everything(run(spark, build, "nunit", [], assembly=same), "8")
     _, _, graph_for = build
     g = graph_for("nunit")
-    bare = A.Graph(g.edges, g.tests.where("false"), g.lifecycle, g.base_types, g.type_members, g.provider_links, g.frameworks)
+    bare = A.Graph(g.edges, g.tests.where("false"), g.lifecycle, g.below, g.type_members, g.provider_links, g.frameworks)
     got = run(spark, build, "nunit", one, graph=lambda: bare)
     everything(got, "9")
     assert "mstest" in got.reason
