@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--exclude", action="append", default=[])
         s.add_argument("-c", "--configuration", default="Release")
         s.add_argument("-f", "--framework", help="target framework of the build")
-    sub.choices["snapshot"].add_argument("-o", "--output", required=True)
+    sub.choices["snapshot"].add_argument("-o", "--output", required=True, help="a folder of tables, or (*.json) a JSON manifest")
     sub.choices["snapshot"].add_argument("--previous", help="manifest whose unchanged assemblies need no hashing")
     a = sub.choices["analyze"]
     a.add_argument("--manifest")
@@ -144,7 +144,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for w in warnings:
             print(f"warning: {w}", file=sys.stderr)
         if args.command == "snapshot":
-            manifest.save(manifest.nested(spark, current.tfm, current.scope, current.assembly, current.method, current.content_file), args.output)
+            parts = (spark, current.tfm, current.scope, current.assembly, current.method, current.content_file)
+            if args.output.endswith(".json"):
+                manifest.save(manifest.nested(*parts), args.output)
+            else:
+                manifest.save_relations(*parts, args.output)
             return emit.EXIT_OK
     except Exception as e:  # noqa: BLE001
         if args.command == "snapshot":
@@ -161,7 +165,7 @@ def _baseline(spark: SparkSession, path: str | None) -> A.Snapshot | None:
     if not path:
         return None
     try:
-        r = manifest.relations(manifest.load(spark, path))
+        r = manifest.load_relations(spark, path)
         head = r["snapshot"].first()
         return A.Snapshot(head.tfm, head.scope, r["assembly"], r["method"], r["content_file"], head.version)
     except Exception as e:  # noqa: BLE001

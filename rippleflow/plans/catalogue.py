@@ -575,17 +575,17 @@ _ESCAPED = r"regexp_replace(display_name, '([\\()&|=!~])', '\\\1', 'g')"
 
 
 
-@query("vstest_filters", duck(["test"], f"SELECT assembly, count(*) AS test_count, string_agg('FullyQualifiedName' || CASE WHEN parameterized THEN '~' ELSE '=' END || {_ESCAPED}, '|' ORDER BY display_name) AS filter FROM test GROUP BY assembly"))
+@query("vstest_filters", duck(["test"], f"SELECT assembly, count(*) AS test_count, CASE WHEN count(*) > {emit.MAX_CLAUSES} THEN '' ELSE string_agg('FullyQualifiedName' || CASE WHEN parameterized THEN '~' ELSE '=' END || {_ESCAPED}, '|' ORDER BY display_name) END AS filter FROM test GROUP BY assembly"))
 def _(r):
-    return emit.filters(r["test"], "VsTest", max_clauses=1 << 30).select("assembly", "test_count", "filter")
+    return emit.filters(r["test"], "VsTest").select("assembly", "test_count", "filter")
 
 
 @query(
     "treenode_filters",
-    duck(["test"], "SELECT assembly, count(*) AS test_count, '/' || assembly || '/*/(' || string_agg(DISTINCT class_name, '|' ORDER BY class_name) || ')/(' || string_agg(DISTINCT display_name || CASE WHEN parameterized THEN '*' ELSE '' END, '|' ORDER BY display_name || CASE WHEN parameterized THEN '*' ELSE '' END) || ')' AS filter FROM test GROUP BY assembly"),
+    duck(["test"], f"SELECT assembly, count(*) AS test_count, CASE WHEN count(*) > {emit.MAX_CLAUSES} THEN '' ELSE '/' || assembly || '/*/(' || string_agg(DISTINCT class_name, '|' ORDER BY class_name) || ')/(' || string_agg(DISTINCT display_name || CASE WHEN parameterized THEN '*' ELSE '' END, '|' ORDER BY display_name || CASE WHEN parameterized THEN '*' ELSE '' END) || ')' END AS filter FROM test GROUP BY assembly"),
 )
 def _(r):
-    return emit.filters(r["test"], "TreeNode", max_clauses=1 << 30).select("assembly", "test_count", "filter")
+    return emit.filters(r["test"], "TreeNode").select("assembly", "test_count", "filter")
 
 
 @query("filter_threshold", duck(["test"], f"SELECT assembly, count(*) AS test_count, count(*) > 60 AS run_whole_assembly, CASE WHEN count(*) > 60 THEN '' ELSE string_agg('FullyQualifiedName' || CASE WHEN parameterized THEN '~' ELSE '=' END || {_ESCAPED}, '|' ORDER BY display_name) END AS filter FROM test GROUP BY assembly"))

@@ -1,7 +1,12 @@
-"""Snapshots as JSON manifests and as relations."""
+"""Snapshots as relations in a folder, and as JSON manifests.
+
+A folder of relations is read and written in parallel, however large a build is; a JSON manifest
+is one nested row, which suits what other tools exchange.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,5 +43,22 @@ def nested(spark: SparkSession, tfm: str, scope: str, assembly: DataFrame, metho
     return head.crossJoin(a).crossJoin(c)  # one row each
 
 
+def save_relations(spark: SparkSession, tfm: str, scope: str, assembly: DataFrame, method: DataFrame, content_file: DataFrame, path: str) -> None:
+    """The relations as Parquet below a folder; the header comes last, so half a snapshot cannot be read."""
+    for name, df in (("assembly", assembly), ("method", method), ("content_file", content_file)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    head = spark.createDataFrame([(schemas.VERSION, tfm, scope)], "version int, tfm string, scope string")
+    head.coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot")
+
+
+def load_relations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The relations of a folder, or of a JSON manifest."""
+    try:
+        head = spark.read.parquet(f"{path}/snapshot")
+    except AnalysisException:
+        return relations(load(spark, path))
+    return {"snapshot": head, **{name: spark.read.parquet(f"{path}/{name}") for name in ("assembly", "method", "content_file")}}
+
+
 def save(manifest: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").json(path)

@@ -57,7 +57,10 @@ def test_a_type_and_a_method_change_together(spark, builds, capsys):
     got = said(capsys)
     assert {(c["fqn"], c["kind"]) for c in got["changes"]} == {("Garden.Bed::<type>", "type"), ("System.Void Garden.Panel::Show()", "changed")}
     assert {t["display_name"] for t in got["tests"]} == {"Dry.PlantingSpec.Plants", "Dry.PanelSpec.Shows"} and len(got["filters"]) == 1
-    # the same from two directories
+    # the same from a JSON manifest, and from two directories
+    assert cli.main(["snapshot", *old, "-o", f"{manifest}.json"], spark) == 0
+    assert cli.main(["analyze", *new, "--manifest", f"{manifest}.json", "--test-framework", "nunit"], spark) == 0
+    assert said(capsys) == got
     assert cli.main(["analyze", "--current", new[1], "--facts", new[3], "--baseline", old[1], "--baseline-facts", old[3], "--test-framework", "nunit"], spark) == 0
     assert said(capsys)["tests"] == got["tests"]
 
