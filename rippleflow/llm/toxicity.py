@@ -291,6 +291,9 @@ def spelt_runs(tokens: list[str], codes: np.ndarray, rows: np.ndarray, single: n
     return out
 
 
+_NONE: list = []
+
+
 class Reader:
     """Turns rows into sets of feature ids, or of feature names."""
 
@@ -300,11 +303,16 @@ class Reader:
         self.stems, self.heads = stems, {x[:n] for x in stems for n in range(1, len(x))}
         self.single = {_TWO_UP.sub(r"\1", x) for x in stems}  # letters that are repeated, once
         self.sizes = sorted({len(x) for x in self.single})
+        self.starts = {x[:3] for x in stems | self.single}
 
     def may_tell(self, low: str) -> bool:
         """Whether a word of letters could be restored to one that begins like a telling word: repeated letters are all that can go."""
+        if self.ids is None or low[:3] in self.starts:
+            return True
+        if not _TWO.search(low):
+            return False
         once = _TWO_UP.sub(r"\1", low)
-        return self.ids is None or any(once[:n] in self.single for n in self.sizes)
+        return any(once[:n] in self.single for n in self.sizes)
 
     def read(self, words: str) -> list:
         names = features_of(words)
@@ -319,8 +327,13 @@ class Reader:
             got = memory.get(t)
             if got is None:
                 low = t.decode().lower()
-                words = low if low.isalpha() and not self.may_tell(low) else self.restorer.restore(low)
-                memory[t] = got = (self.read(words), words in self.heads)
+                core = low if low.isalpha() else _EDGE.sub("", low)
+                if core.isalpha() and not self.may_tell(core):
+                    got = (_NONE, core in self.heads)
+                else:
+                    words = self.restorer.restore(low)
+                    got = (self.read(words), words in self.heads)
+                memory[t] = got
             out.append(got)
         return [x for x, _ in out], np.array([y for _, y in out], bool)
 
