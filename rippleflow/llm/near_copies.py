@@ -12,11 +12,13 @@ verified on the whole sets:
 Sets that meet under a key are first compared with its hub alone, the same node under most keys
 of a group, which joins the members of a large group at a cost linear in the entries.
 
-Under the keys whose sets are not in one component yet, all links across components are found exactly,
-and without pairing a group's members with each other: let the shingles of these sets be ordered by
-the number of sets that have them, rarest first. What stands ahead of the first common shingle is in
-one set alone, so of two sets of similarity 0.8 one has it among its first eighth, the other among its
-first fifth. Members of a group that differ by more than that have shingles of their own there and do not meet.
+Under the keys whose sets are not in one component yet, all links across components are found exactly:
+let the shingles of these sets be ordered by the number of sets that have them, rarest first. What
+stands ahead of the first common shingle is in one set alone, so of two sets of similarity 0.8 one has
+it among its first eighth, the other among its first fifth, and neither has more ahead than it may
+have for itself. Members of a group that differ by more have shingles of their own there and do not
+meet. Those that meet under a shingle are first compared with the one that has the least ahead of it,
+which is the likest to all of them; then, across the components that are left, with each other.
 """
 
 from __future__ import annotations
@@ -136,8 +138,13 @@ def _sizes_fit(a: str, b: str) -> Column:
 
 
 def _may(ia: str, na: str, ib: str, nb: str) -> Column:
-    """Whether sizes and places allow the similarity, if this is the first shingle that both sets have."""
-    return _sizes_fit(na, nb) & ((OVER + UNDER) * (F.col(ia) + F.col(ib)) <= (UNDER - OVER) * (F.col(na) + F.col(nb)))
+    """Whether sizes and places allow the similarity, if this is the first shingle that both sets have.
+
+    Of the elements in which two sets differ, at most a ninth of both sizes, (9 d + 9 (na - nb)) / 18 are a's alone.
+    """
+    i, n, j, m = F.col(ia), F.col(na), F.col(ib), F.col(nb)
+    alone = (18 * i <= 10 * n - 8 * m) & (18 * j <= 10 * m - 8 * n)
+    return _sizes_fit(na, nb) & ((OVER + UNDER) * (i + j) <= (UNDER - OVER) * (n + m)) & alone
 
 
 def _sets_of(fps: DataFrame, nodes: DataFrame, df: DataFrame, key: str) -> DataFrame:
@@ -154,19 +161,48 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return K.stored(met.where((OVER + UNDER) * F.size(F.array_intersect("sa", "sb")) >= OVER * F.col("total")).select("a", "b"))
 
 
-def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, total) of nodes (fp, n, part) of different parts that can be similar; none that is gets lost."""
-    had = sets.join(open_, "fp").select("fp", "n", "part", F.explode("set").alias("shingle"))
+def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(shingle, fp, n, place): the first fifth of each node's shingles, the rarest first, without those that one node alone has."""
+    had = sets.join(open_, "fp").select("fp", "n", F.explode("set").alias("shingle"))
     rare = had.groupBy("shingle").agg(F.count("*").alias("sets"))
-    placed = had.join(rare, "shingle").groupBy("fp", "n", "part").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("order"))  # one node's shingles
-    first = placed.select("fp", "n", "part", F.posexplode(F.expr(f"slice(order, 1, n - (({OVER} * n + {UNDER - 1}) div {UNDER}) + 1)")).alias("place", "s"))
-    first = K.stored(first.where("s.sets > 1").select(F.col("s.shingle").alias("shingle"), "fp", "n", "part", "place"))
+    order = F.sort_array(F.collect_list(F.struct("sets", "shingle")))  # one node's shingles
+    placed = had.join(rare, "shingle").groupBy("fp", "n").agg(order.alias("order"))
+    first = placed.select("fp", "n", F.posexplode(F.expr(f"slice(order, 1, n - (({OVER} * n + {UNDER - 1}) div {UNDER}) + 1)")).alias("place", "s"))
+    return K.stored(first.where("s.sets > 1").select(F.col("s.shingle").alias("shingle"), "fp", "n", "place"))
+
+
+def _nearest(first: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b, total) under a shingle: each node with the one that has the least ahead of it, across parts."""
+    hubs = first.groupBy("shingle").agg(F.min(F.struct("place", "fp", "n")).alias("hub"))
+    met = first.join(hubs, "shingle").where(F.col("fp") != F.col("hub.fp")).select("fp", "n", "place", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.place").alias("j"))
+    met = met.where(_may("place", "n", "j", "m")).select(*_pair("fp", "hub"), (F.col("n") + F.col("m")).alias("total")).distinct()
+    a, b = parts.select(F.col("fp").alias("a"), F.col("part").alias("pa")), parts.select(F.col("fp").alias("b"), F.col("part").alias("pb"))
+    return met.join(a, "a").join(b, "b").where("pa <> pb").select("a", "b", "total")
+
+
+def _across(first: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b, total) of nodes of different parts that can be similar; none that is gets lost."""
+    first = first.join(parts, "fp")
+    wide = first.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("shingle")
+    first = K.stored(first.join(wide, "shingle", "left_semi"))
     a = first.where("8 * place <= n").select("shingle", F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("place").alias("ia"))
     b = first.select("shingle", F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("place").alias("ib"))
     met = a.join(b, "shingle").where((F.col("pa") != F.col("pb")) & _may("ia", "na", "ib", "nb"))
     return met.select(*_pair("fa", "fb"), (F.col("na") + F.col("nb")).alias("total")).distinct()
 
 
+def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) with further links; components so far are stars, so few steps join them."""
+    if not more.limit(1).count():
+        return parts
+    return K.stored(components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"))
+
+
+def _parts(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(fp, part) of nodes, alone or not."""
+    return nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", F.coalesce("root", "fp").alias("part"))
+
+
 def _close(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b, total) by SimHash: nodes of equal fingerprints with the first of them, and first ones within simhash.BITS bits."""
     first = K.stored(nodes.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("hub")))
@@ -202,14 +238,15 @@ def near_duplicates(df: DataFrame, key: str) -> DataFrame:
     # the keys whose nodes the hubs have not joined
     placed = K.stored(entry.join(parts, entry["fp"] == parts["node"], "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("part")))
     wide = K.stored(placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band"))
-    open_ = K.stored(_some(placed, wide, "band").select("fp", "n", "part").distinct())
+    open_ = K.stored(_some(placed, wide, "band").select("fp", "n").distinct())
     if open_.limit(1).count():
         sets = _sets_of(open_.select("fp"), nodes, df, key)
-        met = K.stored(_across(open_, sets).join(asked.select("a", "b"), ["a", "b"], "left_anti"))
-        more = _links(met, sets)
-        if more.limit(1).count():  # components so far are stars: few steps join them
-            parts = K.stored(components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"))
-        K.discard(sets, met)
+        first, compared = _rarest(open_, sets), asked.select("a", "b")
+        near = K.stored(_nearest(first, K.stored(_parts(open_, parts))).join(compared, ["a", "b"], "left_anti"))
+        parts = _joined(parts, _links(near, sets))
+        met = K.stored(_across(first, K.stored(_parts(open_, parts))).join(compared.unionByName(near.select("a", "b")), ["a", "b"], "left_anti"))
+        parts = _joined(parts, _links(met, sets))
+        K.discard(sets, first, near, met)
     parts = K.stored(nodes.join(parts, nodes["fp"] == parts["node"]).select("fp", "root", "least"))
     roots = parts.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = parts.join(roots, "root").select("fp", "component_id")
