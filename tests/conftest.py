@@ -14,7 +14,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .appName("rippleflow-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "2")
         .config("spark.sql.leafNodeDefaultParallelism", "1")
         .config("spark.ui.showConsoleProgress", "false")
