@@ -99,11 +99,12 @@ def hinted(offsets: np.ndarray, data: np.ndarray, raw: bytes) -> list[tuple[int,
     among the AHEAD tokens behind it. What closes or parts values (quotes, brackets, commas) ends a run."""
     out: dict[int, int] = {}
     word, taken = 0, 0  # ends of the last hint's word and of the last run
-    for m in HINT.finditer(raw):
-        if m.end() <= word:
+    # row by row: no hint crosses rows, and none depends on the row before
+    hints = ((low + m.end(), high) for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in HINT.finditer(raw[low:high]))
+    for behind, end in hints:
+        if behind <= word:
             continue  # another hint in the same word
-        end = int(offsets[np.searchsorted(offsets, m.start(), "right")])
-        at = word = _WORD.match(raw, m.end(), end).end()
+        at = word = _WORD.match(raw, behind, end).end()
         if at < taken:
             continue  # within a run that is taken whole
         seen = 0

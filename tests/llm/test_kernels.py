@@ -257,6 +257,16 @@ def test_field_finds_secrets_of_another_maker():
     assert [text[s:e] for _, s, k, e, _, _ in secret_scan.find(*block([text]), field) if k == 3] == ["Zx81kQpL0vT3mB7nR2dW"]
 
 
+def test_hints_do_not_cross_rows():
+    texts = ["my pass", "word: hunter2222 x", "monkey", "key: abcdefgh9", "pin", "", "auth = Zx81kQpL0vT3"]
+    whole = secret_scan.hinted(*block(texts), "".join(texts).encode())
+    alone, at = [], 0
+    for t in texts:
+        alone += [(a + at, b + at) for a, b in secret_scan.hinted(*block([t]), t.encode())]
+        at += len(t)
+    assert whole == alone and len(whole) == 2
+
+
 def test_unknown_tokens_behind_hints_are_not_taught():
     text = "pwd: tr0ub4dor99 and then mail7.example.com4 of token = abcdef123456"
     off, data = block([text])
