@@ -24,6 +24,13 @@ def _written(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def _deepest(df: DataFrame, path: str) -> int:
+    """Writes pairs and returns their greatest depth, 0 if there are none."""
+    seen = Observation()
+    df.observe(seen, F.max("depth").alias("far")).write.parquet(path)
+    return seen.get["far"] or 0
+
+
 def reach(edges: DataFrame, seeds: DataFrame, chains: bool = True, most: int | None = None, written: bool = False) -> DataFrame:
     """(node, depth, chain) of every node reached from seeds (column node), the seeds included.
 
@@ -59,24 +66,24 @@ def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFram
     """(a, b, depth) of the transitive closure of pairs of strings up to most steps, with the least
     depth; no name reaches itself.
 
-    Squaring: each round joins the closure so far with itself, so it takes log2(most) rounds, or
-    fewer where nothing is added any more.
+    Doubling: the pairs of up to span steps are known. A shortest path of up to twice as many has a
+    node just span steps from its start, so a round joins the pairs of exactly span steps with all
+    known ones: in a tree it makes every pair once, and nodes near the root, which all others reach,
+    are met from the few at that distance. Each round writes what is new, and nothing is written twice.
     """
     spark = pairs.sparkSession
-    known = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1))
-    path, span = shared_dir(spark), 1
-    size, known = _written(known, path), spark.read.schema(known.schema).parquet(path)
-    while size and span < most:
-        left, right = known, known.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("depth").alias("more"))
-        longer = left.join(right, "b").select("a", F.col("c").alias("b"), (F.col("depth") + F.col("more")).alias("depth"))
+    first = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().withColumn("depth", F.lit(1))
+    schema, paths, span = first.schema, [shared_dir(spark)], 1
+    far = _deepest(first, paths[0])
+    while far == span < most:
+        known = spark.read.schema(schema).parquet(*paths)
+        ends = spark.read.schema(schema).parquet(paths[-1]).where(F.col("depth") == span).select(F.col("a").alias("from"), F.col("b").alias("via"))
+        longer = ends.join(known, F.col("via") == F.col("a")).select(F.col("from").alias("a"), "b", (F.col("depth") + span).alias("depth"))
         longer = longer.where((F.col("depth") <= most) & (F.col("a") != F.col("b")))
-        path = shared_dir(spark)
-        now = _written(known.unionByName(longer).groupBy("a", "b").agg(F.min("depth").alias("depth")), path)
-        known, span = spark.read.schema(known.schema).parquet(path), span * 2
-        if now == size:
-            break
-        size = now
-    return known.withColumnsRenamed({"a": a, "b": b})
+        new = longer.groupBy("a", "b").agg(F.min("depth").alias("depth")).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        paths.append(shared_dir(spark))
+        far, span = _deepest(new, paths[-1]), span * 2
+    return spark.read.schema(schema).parquet(*paths).withColumnsRenamed({"a": a, "b": b})
 
 
 def reference_closure(references: DataFrame) -> DataFrame:

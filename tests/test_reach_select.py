@@ -65,6 +65,33 @@ def test_closure(spark):
     assert {(r.a, r.b, r.depth) for r in reach.closure(loop, 64).collect()} == {("p", "q", 1), ("q", "r", 1), ("r", "p", 1), ("p", "r", 2), ("q", "p", 2), ("r", "q", 2)}
 
 
+def test_closure_writes_each_pair_once(spark, monkeypatch):
+    """A binary tree whose root all others reach: no round writes or makes again what is known."""
+    paths = []
+    monkeypatch.setattr(reach, "shared_dir", lambda s, f=reach.shared_dir: paths.append(f(s)) or paths[-1])
+    want = {(f"c{i}", f"c{i >> d}"): d for i in range(1, 300) for d in range(1, i.bit_length() + 1)}
+    out = reach.closure(spark.createDataFrame([(f"c{i}", f"c{i // 2}") for i in range(1, 300)], "a string, b string"), 64)
+    assert {(r.a, r.b): r.depth for r in out.collect()} == want
+    assert spark.read.parquet(*paths).count() == len(want)
+
+
+def test_closure_against_brute_force(spark):
+    """Cycles, several ways to a name, and a bound that is no power of two."""
+    rnd = random.Random(11)
+    pairs = {(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(45)} | {(f"l{i}", f"l{i + 1}") for i in range(12)}
+    out = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    for most in (1, 3, 6, 64):
+        want = {}
+        for a in out:
+            level, seen = {a}, {a}
+            for depth in range(1, most + 1):
+                level = {b for x in level for b in out.get(x, ())} - seen
+                seen |= level
+                want |= {(a, b): depth for b in level}
+        rows = reach.closure(spark.createDataFrame(sorted(pairs), "a string, b string"), most).collect()
+        assert len(rows) == len(want) and {(r.a, r.b): r.depth for r in rows} == want
+
+
 # a mill with two classes of tests in the north, and a barn with one in the south
 WHEEL, STONE, OWL, SLUICE = "Mill.Wheel::Turns/0", "Mill.Stone::Grinds/0", "Barn.Owl::Hoots/0", "Mill.Sluice::Open/0"
 TESTS = [
