@@ -86,6 +86,26 @@ def closure(pairs: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFram
     return spark.read.schema(schema).parquet(*paths).withColumnsRenamed({"a": a, "b": b})
 
 
+def closure_to(pairs: DataFrame, ends: DataFrame, most: int, a: str = "a", b: str = "b") -> DataFrame:
+    """The rows of closure() that lead to ends (column b), without the rest of it.
+
+    Level by level from the ends: a level costs the pairs and what was found so far, and no row is
+    made that does not lead to an end.
+    """
+    spark = pairs.sparkSession
+    own = stored(pairs.select(F.col(a).alias("from"), F.col(b).alias("via")).where(F.col("from") != F.col("via")))
+    first = ends.select(F.col(b).alias("via")).distinct().join(own, "via").select(F.col("from").alias("a"), F.col("via").alias("b")).distinct().withColumn("depth", F.lit(1))
+    schema, paths, depth = first.schema, [shared_dir(spark)], 1
+    found = _written(first, paths[0])
+    while found and depth < most:
+        depth += 1
+        known, level = spark.read.schema(schema).parquet(*paths), spark.read.schema(schema).parquet(paths[-1])
+        step = own.join(level, F.col("via") == F.col("a")).select(F.col("from").alias("a"), "b").where("a <> b").distinct()
+        paths.append(shared_dir(spark))
+        found = _written(step.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)), paths[-1])
+    return spark.read.schema(schema).parquet(*paths).withColumnsRenamed({"a": a, "b": b})
+
+
 def reference_closure(references: DataFrame) -> DataFrame:
     """(name, ref) of all direct and indirect references, without case."""
     low = references.select(F.lower("name").alias("name"), F.lower("ref").alias("ref"))

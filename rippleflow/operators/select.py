@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import key_of_fqn, pretty_key, type_key, wildcard_regex
 from ..schemas import SCOPE_ASSEMBLY, SCOPE_FIXTURE, SCOPE_GLOBAL
 from .graph import BASE_DEPTH
-from .reach import closure
+from .reach import closure, closure_to
 
 #: Seed-phase selections come before those of the walk.
 PHASE_SEED, PHASE_WALK = 0, 1
@@ -27,8 +27,12 @@ def seeds(changes: DataFrame, members: DataFrame) -> DataFrame:
     return plain.unionByName(nodes).unionByName(inner).distinct()
 
 
-def descendants(base_types: DataFrame) -> DataFrame:
-    """(type, base) pairs of a type and all its bases, itself among them."""
+def descendants(base_types: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(type, base) pairs of a type and all its bases, itself among them; of (column type): of these bases only."""
+    if of is not None:
+        of = of.select(F.col("type").alias("base")).where("base is not null").distinct()
+        up = closure_to(base_types.where("base <> ''"), of, BASE_DEPTH, "type", "base").select("type", "base")
+        return up.unionByName(of.select(F.col("base").alias("type"), "base"))
     up = closure(base_types.where("base <> ''"), BASE_DEPTH, "type", "base").select("type", "base")
     names = base_types.select("type").unionByName(base_types.select(F.col("base").alias("type"))).distinct()
     return up.unionByName(names.select("type", F.col("type").alias("base")))
@@ -63,8 +67,8 @@ def lifecycle_hits(reached: DataFrame, tests: DataFrame, lifecycle: DataFrame, b
     cols = [F.col(c) for c in tests.columns] + [F.lit(PHASE_WALK).alias("phase"), F.col("why")]
     fixture = hooks.where(F.col("scope") == SCOPE_FIXTURE).groupBy("declaring_type").agg(F.min("why").alias("why"))
     below = below.select(F.col("type").alias("_t"), F.col("base").alias("_b"))
-    derived = fixture.join(below, F.col("declaring_type") == F.col("_b"), "left")
-    derived = derived.select(F.explode(F.array_distinct(F.array(F.col("declaring_type"), F.coalesce("_t", "declaring_type")))).alias("_class"), "why").groupBy("_class").agg(F.min("why").alias("why"))
+    derived = fixture.join(below, F.col("declaring_type") == F.col("_b")).select(F.col("_t").alias("_class"), "why")
+    derived = derived.unionByName(fixture.select(F.col("declaring_type").alias("_class"), "why")).groupBy("_class").agg(F.min("why").alias("why"))
     one = derived.join(tests, F.col("_class") == F.col("declaring_type")).select(*cols)
     assembly = hooks.where(F.col("scope") == SCOPE_ASSEMBLY).groupBy("_asm").agg(F.min("why").alias("why"))
     two = assembly.join(tests, F.col("_asm") == F.lower("assembly")).select(*cols)

@@ -208,8 +208,14 @@ def _(r):
 _HIT = " SELECT DISTINCT t.display_name, t.assembly FROM reached JOIN {hook} h ON h.method_key = node {join} WHERE h.scope = {scope}"
 
 
+def _below(r: Relations, hooks: DataFrame) -> DataFrame:
+    """The classes below those whose hooks count for their own class."""
+    return select.descendants(r["base_type"], hooks.where(F.col("scope") == schemas.SCOPE_FIXTURE).select(F.col("declaring_type").alias("type")))
+
+
 def _lifecycle(r: Relations, hooks: str, scope: int) -> DataFrame:
-    hit = select.lifecycle_hits(_reached(r), r["test"], r[hooks].where(F.col("scope") == scope), select.descendants(r["base_type"]))
+    own = r[hooks].where(F.col("scope") == scope)
+    hit = select.lifecycle_hits(_reached(r), r["test"], own, _below(r, own))
     return hit.select("display_name", "assembly").distinct()
 
 
@@ -242,7 +248,7 @@ chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assembly, di
 
 def _chosen(r: Relations) -> DataFrame:
     reached = _reached(r)
-    hits = select.direct_hits(reached, r["test"]).unionByName(select.lifecycle_hits(reached, r["test"], r["lifecycle"], select.descendants(r["base_type"])))
+    hits = select.direct_hits(reached, r["test"]).unionByName(select.lifecycle_hits(reached, r["test"], r["lifecycle"], _below(r, r["lifecycle"])))
     return select.first_reason(hits)
 
 
@@ -471,7 +477,7 @@ _HIT_TYPES = ["test", "base_type", "seed"]
 @query("type_change_hits", duck(_HIT_TYPES, f"+{_BELOW}, changed AS (SELECT DISTINCT base AS type FROM base_type WHERE CAST(substr(base, 3) AS INT) % 50 = 7) SELECT DISTINCT t.display_name, t.assembly FROM changed c JOIN below b ON b.base = c.type JOIN test t ON t.declaring_type = b.type", True))
 def _(r):
     changed = r["base_type"].where("CAST(substr(base, 3) AS INT) % 50 = 7").select(F.concat(F.lit("TN:"), F.col("base")).alias("node"), F.col("base").alias("type")).distinct()
-    return select.type_hits(changed, r["test"], select.descendants(r["base_type"])).select("display_name", "assembly").distinct()
+    return select.type_hits(changed, r["test"], select.descendants(r["base_type"], changed)).select("display_name", "assembly").distinct()
 
 
 _LINKS = "hit AS (SELECT r.type, r.member, k.member_key, r.test_key FROM provider_ref r JOIN keyed k ON k.type = r.type AND (r.member = '*' OR r.member = k.name)), link AS (SELECT member_key AS provider_key, test_key FROM hit UNION SELECT k.member_key, r.test_key FROM provider_ref r JOIN keyed k ON k.type = r.type WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.type = r.type AND h.member = r.member AND h.test_key = r.test_key))"

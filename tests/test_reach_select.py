@@ -92,6 +92,28 @@ def test_closure_against_brute_force(spark):
         assert len(rows) == len(want) and {(r.a, r.b): r.depth for r in rows} == want
 
 
+def test_closure_to_some_ends(spark, monkeypatch):
+    """The closure's rows that lead to the ends, and no others are written; cycles and a bound too."""
+    rnd = random.Random(5)
+    pairs = spark.createDataFrame(sorted({(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(60)} | {(f"l{i}", f"l{i + 1}") for i in range(9)}), "a string, b string")
+    ends = spark.createDataFrame([("n3",), ("n7",), ("l9",), ("l9",), ("none",)], "b string")
+    for most in (3, 64):
+        want = sorted(tuple(r) for r in reach.closure(pairs, most).where("b in ('n3', 'n7', 'l9')").collect())
+        paths = []
+        with monkeypatch.context() as m:
+            m.setattr(reach, "shared_dir", lambda s, f=reach.shared_dir: paths.append(f(s)) or paths[-1])
+            assert sorted(tuple(r) for r in reach.closure_to(pairs, ends, most).collect()) == want
+        assert spark.read.parquet(*paths).count() == len(want)
+
+
+def test_descendants_of_some_bases(spark):
+    tree = spark.createDataFrame([(f"C{i}", f"C{i // 2}") for i in range(1, 64)], schemas.BASE_TYPE)
+    some = spark.createDataFrame([("C5",), ("C9",), ("C63",), (None,)], "type string")
+    every = sorted(tuple(r) for r in select.descendants(tree).where("base in ('C5', 'C9', 'C63')").collect())
+    assert sorted(tuple(r) for r in select.descendants(tree, some).collect()) == every and len(every) == 23
+    assert select.descendants(tree, some.where("false")).count() == 0
+
+
 # a mill with two classes of tests in the north, and a barn with one in the south
 WHEEL, STONE, OWL, SLUICE = "Mill.Wheel::Turns/0", "Mill.Stone::Grinds/0", "Barn.Owl::Hoots/0", "Mill.Sluice::Open/0"
 TESTS = [
