@@ -84,10 +84,10 @@ def controller_edges(types: DataFrame, members: DataFrame) -> DataFrame:
 def polymorphism_edges(types: DataFrame, members: DataFrame, interfaces: DataFrame, overrides: DataFrame) -> DataFrame:
     """An implementation reaches what it implements or overrides: declared overrides, interface
     methods of the type and its bases (and what those interfaces extend) of the same name and arity,
-    and virtual methods of ancestors as far as these are in the facts."""
+    and virtual methods of ancestors as far as these are in the facts. Members of equal keys count once."""
     key = method_key(F.col("type"), F.col("name"), F.col("params"))
     declared = overrides.select(*_edge(F.col("member_key"), F.col("overridden_key"), "override"))
-    virtual = members.where("is_virtual and not is_static and not is_ctor").select("type", "name", "params", key.alias("key"))
+    virtual = members.where("is_virtual and not is_static and not is_ctor").select("type", "name", "params", key.alias("key")).distinct()
     known = types.select(F.col("type").alias("base"))
     up = closure(types.where("base <> ''").select("type", "base").join(known, "base", "left_semi"), BASE_DEPTH, "type", "base").select("type", "base")
     own = types.select("type", F.col("type").alias("base"))
@@ -95,9 +95,9 @@ def polymorphism_edges(types: DataFrame, members: DataFrame, interfaces: DataFra
     direct = up.unionByName(own).join(of, "base").select("type", "interface")
     more = direct.join(of.select(F.col("base").alias("interface"), F.col("interface").alias("over")), "interface").select("type", F.col("over").alias("interface"))
     every = direct.unionByName(more).distinct()
-    target = members.select(F.col("type").alias("interface"), "name", "params", key.alias("target"))
+    target = members.select(F.col("type").alias("interface"), "name", "params", key.alias("target")).distinct()
     implicit = virtual.join(every, "type").join(target, ["interface", "name", "params"]).select(*_edge(F.col("key"), F.col("target"), "interface"))
-    above = members.where("is_virtual and not is_static").select(F.col("type").alias("base"), "name", "params", key.alias("target"))
+    above = members.where("is_virtual and not is_static").select(F.col("type").alias("base"), "name", "params", key.alias("target")).distinct()
     overriding = virtual.join(up, "type").join(above, ["base", "name", "params"]).select(*_edge(F.col("key"), F.col("target"), "virtual"))
     return declared.unionByName(implicit).unionByName(overriding)
 

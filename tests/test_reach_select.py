@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from rippleflow import schemas
-from rippleflow.operators import emit, reach, select
+from rippleflow.operators import emit, graph, reach, select
 
 
 def edges(spark, *pairs):
@@ -114,6 +114,16 @@ def test_descendants_of_some_bases(spark):
     assert select.descendants(tree, some.where("false")).count() == 0
 
 
+def test_members_of_equal_keys_give_an_edge_once(spark):
+    types = spark.createDataFrame([("Owl", "Bird"), ("Bird", "")], "type string, base string")
+    rows = [(t, "Hoots", 0, True, False, False) for t in ("Owl", "Bird", "Nests") for _ in range(3)]
+    members = spark.createDataFrame(rows, "type string, name string, params int, is_virtual boolean, is_static boolean, is_ctor boolean")
+    faces = spark.createDataFrame([("Owl", "Nests")], "type string, interface string")
+    none = spark.createDataFrame([], "member_key string, overridden_key string")
+    got = sorted(tuple(r) for r in graph.polymorphism_edges(types, members, faces, none).collect())
+    assert got == [("Owl::Hoots/0", "Bird::Hoots/0", "virtual"), ("Owl::Hoots/0", "Nests::Hoots/0", "interface")]
+
+
 # a mill with two classes of tests in the north, and a barn with one in the south
 WHEEL, STONE, OWL, SLUICE = "Mill.Wheel::Turns/0", "Mill.Stone::Grinds/0", "Barn.Owl::Hoots/0", "Mill.Sluice::Open/0"
 TESTS = [
