@@ -1,7 +1,7 @@
 """Dependency edges from structural facts. An edge (callee, caller, kind) points where impact flows.
 
 Facts are relations by assembly (see schemas); all steps are joins and projections. The deeper
-hierarchies (declaring types, bases) are closed once, by squaring.
+hierarchies (declaring types, bases) are closed once, by doubling.
 """
 
 from __future__ import annotations
